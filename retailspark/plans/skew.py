@@ -15,7 +15,7 @@ _HASHABLE = ("array", "map", "struct", "variant")
 
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's upper estimate of the frame's size; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def fits_broadcast(df: DataFrame) -> bool:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from retailspark.registry import tables  # noqa: F401
+from retailspark.registry import features, tables  # noqa: F401
 from retailspark.registry.core import CHECKS, QUERIES  # noqa: F401
