@@ -16,7 +16,12 @@ MAX_AGE = 120
 ARTICLE_ID_DIGITS = 10
 ITEM_NAME_LENGTH = 120
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# The Unicode white space characters.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Each rule reads its column as few times as it can: Spark inlines the column's own expression.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_DATE = r"^\s*\d{4}-\d{2}-\d{2}\s*$"
+_SHORT_ID = rf"^\s*[0-9]{{1,{ARTICLE_ID_DIGITS - 1}}}\s*$"
 _TRUE_WORDS = ("true", "yes", "y")
 _FALSE_WORDS = ("false", "no", "n")
 
@@ -43,7 +48,7 @@ def squeeze(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -65,7 +70,7 @@ def normalize_member_status(c: Column | str) -> Column:
 
 def to_number(c: Column | str) -> Column:
     """Plain decimal or exponent text as double; anything else is NULL."""
-    text = strip(_col(c).cast("string"))
+    text = _col(c).cast("string")
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
@@ -89,7 +94,8 @@ def first_known(*columns: Column | str) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    return F.try_to_date(strip(c), "yyyy-MM-dd")
+    """Date from ``yyyy-MM-dd`` text; anything else is NULL."""
+    return F.when(_col(c).rlike(_DATE), _col(c).try_cast("date"))
 
 
 def parse_price(c: Column | str) -> Column:
@@ -97,9 +103,8 @@ def parse_price(c: Column | str) -> Column:
 
 
 def normalize_article_id(c: Column | str) -> Column:
-    text = strip(_col(c).cast("string"))
-    short = text.rlike(r"^[0-9]+$") & (F.length(text) < ARTICLE_ID_DIGITS)
-    return F.when(short, F.lpad(text, ARTICLE_ID_DIGITS, "0")).otherwise(text)
+    text = _col(c).cast("string")
+    return F.when(text.rlike(_SHORT_ID), F.lpad(strip(text), ARTICLE_ID_DIGITS, "0")).otherwise(strip(text))
 
 
 def season(c: Column | str) -> Column:

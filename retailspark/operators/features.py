@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from retailspark.functions import clean as c
 from retailspark.plans.quantiles import exact_quantiles
+from retailspark.plans.staging import staged
 
 WINDOW_DAYS = (7, 30, 90)
 BAND_FRACTIONS = (0.33, 0.66)
@@ -161,19 +162,24 @@ def band(column: str, cuts: Sequence[float] | None, names: Sequence[str], missin
 
 
 def price_band(df: DataFrame, column: str, name: str = "price_band") -> DataFrame:
+    df = staged(df, "price_band")
     cuts = exact_quantiles(df, [column], BAND_FRACTIONS)[column]
     return df.withColumn(name, band(column, cuts, PRICE_BANDS, "unknown"))
 
 
 def activity_segment(users: DataFrame) -> DataFrame:
     """Buyers by purchase count; users without purchases are cold."""
-    counted = users.withColumn("bought", F.when(F.col("purchase_count") > 0, F.col("purchase_count")))
+    counted = staged(
+        users.withColumn("bought", F.when(F.col("purchase_count") > 0, F.col("purchase_count"))), "activity"
+    )
     cuts = exact_quantiles(counted, ["bought"], BAND_FRACTIONS)["bought"]
     return counted.withColumn("activity_segment", band("bought", cuts, ACTIVITY_SEGMENTS, "cold_start")).drop("bought")
 
 
 def popularity_segment(items: DataFrame) -> DataFrame:
-    counted = items.withColumn("bought", F.when(F.col("item_purchase_count") > 0, F.col("item_purchase_count")))
+    counted = staged(
+        items.withColumn("bought", F.when(F.col("item_purchase_count") > 0, F.col("item_purchase_count"))), "popularity"
+    )
     cuts = exact_quantiles(counted, ["bought"], BAND_FRACTIONS)["bought"]
     return counted.withColumn("popularity_segment", band("bought", cuts, POPULARITY_SEGMENTS, "cold")).drop("bought")
 
@@ -187,15 +193,15 @@ def user_features(txn: DataFrame, customers: DataFrame, last: Column) -> DataFra
     grouped = txn.groupBy("customer_id").agg(
         *total_columns(), *window_columns(last, spend=True), *_count_columns("season", c.SEASONS)
     )
-    base = (
+    # One row per customer; read by the quantile pass and by the result.
+    base = staged(
         customers.join(grouped, "customer_id", "left")
         .join(preferences(txn), "customer_id", "left")
         .withColumns({
             "avg_price": F.col("total_spend") / F.col("purchase_count"),
             "bought": F.col("purchase_count"),
-        })
-        # One row per customer; read by the quantile pass and by the result.
-        .persist()
+        }),
+        "user_totals",
     )
     cuts = exact_quantiles(base, ["avg_price", "bought"], BAND_FRACTIONS)
     counts = ["purchase_count", *[f"purchase_count_{n}d" for n in WINDOW_DAYS]]
@@ -227,14 +233,13 @@ def item_features_rich(txn: DataFrame, articles: DataFrame, last: Column) -> Dat
         *total_columns(), *window_columns(last, spend=False),
         *_count_columns("season", c.SEASONS), *_count_columns("buyer_age_bucket", c.AGE_BUCKETS),
     )
-    base = (
-        articles.join(grouped, "article_id", "left")
-        .withColumns({
+    # One row per article; read by the quantile pass and by the result.
+    base = staged(
+        articles.join(grouped, "article_id", "left").withColumns({
             "item_avg_price": F.col("total_spend") / F.col("purchase_count"),
             "bought": F.col("purchase_count"),
-        })
-        # One row per article; read by the quantile pass and by the result.
-        .persist()
+        }),
+        "item_totals",
     )
     cuts = exact_quantiles(base, ["item_avg_price", "bought"], BAND_FRACTIONS)
     has_purchase = F.col("bought") > 0

@@ -23,7 +23,7 @@ FRESH_BOOST = 0.5
 
 
 def keep_known(txn: DataFrame, customers: DataFrame, articles: DataFrame) -> DataFrame:
-    known = lookup_join(txn, articles.select("article_id"), "article_id", "left_semi")
+    known = lookup_join(txn, articles.select("article_id"), "article_id", "left_semi", hot_source=txn)
     return lookup_join(known, customers.select("customer_id"), "customer_id", "left_semi", hot_source=txn)
 
 
@@ -52,7 +52,7 @@ def enrich_transactions(
     """Item attributes, buyer age group and season; ``how="inner"`` also drops unknown ids."""
     items = articles.select("article_id", *SIGNAL_ATTRIBUTES)
     buyers = customers.select("customer_id", F.col("age_bucket").alias("buyer_age_bucket"))
-    joined = lookup_join(txn, items, "article_id", how)
+    joined = lookup_join(txn, items, "article_id", how, hot_source=txn)
     joined = lookup_join(joined, buyers, "customer_id", how, hot_source=txn)
     return joined.select(
         *txn.columns,
@@ -75,7 +75,7 @@ def candidate_train(interactions: DataFrame, users: DataFrame, items: DataFrame,
     if check:
         assert_unique(users, "customer_id", "user features")
         assert_unique(items, "article_id", "item features")
-    joined = lookup_join(interactions, users, "customer_id")
+    joined = lookup_join(interactions, users, "customer_id", hot_source=interactions)
     return lookup_join(joined, items, "article_id", hot_source=interactions)
 
 
@@ -95,7 +95,7 @@ def attach_item_stats(df: DataFrame, items: DataFrame, columns: Sequence[str]) -
     out = df
     if available:
         stats = first_per_key(items, "article_id", available, available)
-        out = lookup_join(df, stats, "article_id")
+        out = lookup_join(df, stats, "article_id", hot_source=df)
     return out.select(
         *df.columns,
         *[
@@ -111,7 +111,7 @@ def enrich_candidates(df: DataFrame, catalog: DataFrame) -> DataFrame:
     looked_up = catalog.select(
         "article_id", *[F.col(name).alias(f"catalog_{name}") for name in (*numbers, *CATALOG_TEXT)]
     )
-    joined = lookup_join(df, looked_up, "article_id")
+    joined = lookup_join(df, looked_up, "article_id", hot_source=df)
     own = set(df.columns)
 
     def merged(name: str):
@@ -171,7 +171,7 @@ def ranking_features(candidates: DataFrame, customers: DataFrame) -> DataFrame:
     """User profile with cold-start defaults, item text and crossed features."""
     profile = customers.select("customer_id", *USER_PROFILE)
     kept = [name for name in candidates.columns if name not in (*USER_PROFILE, *ITEM_TEXT)]
-    joined = lookup_join(candidates.drop(*USER_PROFILE), profile, "customer_id")
+    joined = lookup_join(candidates.drop(*USER_PROFILE), profile, "customer_id", hot_source=candidates)
     filled = joined.select(
         *kept,
         F.col("age").cast("double").alias("age"),

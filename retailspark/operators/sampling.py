@@ -12,6 +12,7 @@ from retailspark.functions.hashing import DRAW_RANGE, draw, draw_below
 from retailspark.operators.joins import ITEM_TEXT, USER_PROFILE
 from retailspark.operators.windows import ID_PREFIX
 from retailspark.plans.skew import RANGE_STEP, explode_range, lookup_join, ordered_position
+from retailspark.plans.staging import staged
 
 HOLDOUT_BUCKETS = 10_000
 HASH_BUCKETS = 65_536
@@ -50,7 +51,7 @@ def item_index(items: DataFrame, pool: Column) -> DataFrame:
     numbered = ordered_position(
         pooled, ["pool"], [F.col("article_id")], F.substring("article_id", 1, ID_PREFIX), "ordinal", "pool_size"
     )
-    return numbered.withColumn("ordinal", F.col("ordinal") - 1)
+    return staged(numbered.withColumn("ordinal", F.col("ordinal") - 1), "item_index")
 
 
 def draw_unseen(
@@ -67,7 +68,9 @@ def draw_unseen(
     request = ["customer_id", "anchor", "pool"]
     sizes = index.groupBy("pool").agg(F.first("pool_size").alias("pool_size"))
     seen_counts = (
-        lookup_join(seen.select("customer_id", "article_id"), index.select("article_id", "pool"), "article_id", "inner")
+        lookup_join(
+            seen.select("customer_id", "article_id"), index.select("article_id", "pool"), "article_id", "inner", hot_source=seen
+        )
         .groupBy("customer_id", "pool").agg(F.count(F.lit(1)).alias("seen_n"))
     )
     sized = lookup_join(requests, sizes, "pool", "inner")
@@ -81,6 +84,7 @@ def draw_unseen(
     sized = sized.withColumn("wanted", F.least(F.col("wanted").cast("long"), F.col("pool_size") - taken)).where(
         "wanted > 0"
     ).withColumn("sparse", F.col("pool_size") >= SPARSE_FACTOR * (taken + F.col("wanted")))
+    sized = staged(sized, "draw_requests")
 
     def unblocked(df: DataFrame) -> DataFrame:
         if blocked is None:
@@ -134,7 +138,7 @@ def draw_unseen(
 def sample_negatives(positives: DataFrame, items: DataFrame, ratio: int = 1, seed: int = 42) -> DataFrame:
     """Per user (positives x ratio) distinct articles never bought, as far as there are any."""
     index = item_index(items, F.lit(ALL_ITEMS))
-    pairs = positives.select("customer_id", "article_id")
+    pairs = staged(positives.select("customer_id", "article_id"), "positives")
     requests = pairs.groupBy("customer_id").agg((F.count(F.lit(1)) * ratio).alias("wanted")).select(
         "customer_id", F.lit("").alias("anchor"), F.lit(ALL_ITEMS).alias("pool"), "wanted"
     )
@@ -145,16 +149,17 @@ def sample_hard_negatives(
     positives: DataFrame, items: DataFrame, n: int, hard_ratio: float, seed: int = 42
 ) -> DataFrame:
     """Per positive: some articles of its main category and the rest from all, never bought."""
-    pairs = positives.select("customer_id", "article_id")
+    pairs = staged(positives.select("customer_id", "article_id"), "positives")
     categories = items.select("article_id", c.categorical_token("main_category").alias("pool"))
     hard_n = min(n, max(0, round(n * hard_ratio)))
     columns = ("customer_id", "anchor", "article_id")
-    anchored = lookup_join(pairs, categories, "article_id", "inner").select(
+    anchored = lookup_join(pairs, categories, "article_id", "inner", hot_source=pairs).select(
         "customer_id", F.col("article_id").alias("anchor"), "pool"
     )
-    hard = draw_unseen(
-        anchored.withColumn("wanted", F.lit(hard_n)), item_index(items, c.categorical_token("main_category")), pairs, seed
-    ).select(*columns)
+    in_category = item_index(items, c.categorical_token("main_category"))
+    hard = staged(
+        draw_unseen(anchored.withColumn("wanted", F.lit(hard_n)), in_category, pairs, seed).select(*columns), "hard_negatives"
+    )
     got = hard.groupBy("customer_id", "anchor").agg(F.count(F.lit(1)).alias("got"))
     rest_requests = anchored.join(got, ["customer_id", "anchor"], "left").select(
         "customer_id", "anchor", F.lit(ALL_ITEMS).alias("pool"), (F.lit(n) - F.coalesce("got", F.lit(0))).alias("wanted")
@@ -167,7 +172,7 @@ def ranking_train(
     txn: DataFrame, customers: DataFrame, articles: DataFrame, ratio: int = 1, seed: int = 42
 ) -> DataFrame:
     """Positive and negative rows with user, item and crossed features, from known purchases."""
-    pairs = distinct_pairs(txn)
+    pairs = staged(distinct_pairs(txn), "pairs")
     positives = pairs.select(
         "customer_id", "article_id", F.lit(1).alias("label"), "price", "sales_channel_id"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from retailspark.operators import clean, features, joins, windows
-from retailspark.sources.tables import read_table, write_table
+from retailspark.plans.staging import staged
 
 
 def candidate_tables(
@@ -13,19 +13,15 @@ def candidate_tables(
     customers_raw: DataFrame,
     articles_raw: DataFrame,
     segment_top_k: int = 50,
-    stage_path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Feature tables, segment lists and the joined training set of one run.
 
-    With ``stage_path`` the enriched purchases are written once to a shared folder and
-    read back, so that each table below scans them instead of joining again.
+    The enriched purchases are staged, so that each table below scans them instead of
+    joining again.
     """
     customers, articles = clean.clean_customers(customers_raw), clean.clean_articles(articles_raw)
     last = features.last_day(txn)
-    enriched = joins.enrich_transactions(txn, articles, customers, "inner")
-    if stage_path:
-        write_table(enriched, stage_path)
-        enriched = read_table(txn.sparkSession, stage_path, enriched.schema)
+    enriched = staged(joins.enrich_transactions(txn, articles, customers, "inner"), "enriched")
     users = features.user_features(enriched, customers, last)
     items = features.item_features_rich(enriched, articles, last)
     rows = features.interactions(enriched, last)
