@@ -40,7 +40,7 @@ def with_parts(sql: str) -> str:
 
     visit(sql, ())
     pieces = ", ".join(f"{name} AS ({PARTS[name]})" for name in ordered)
-    return f"WITH {pieces} {sql}" if pieces else sql
+    return f"WITH RECURSIVE {pieces} {sql}" if pieces else sql
 
 
 def flat(df: DataFrame) -> DataFrame:
