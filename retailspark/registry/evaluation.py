@@ -94,8 +94,8 @@ part("signals", " UNION ".join(f"SELECT customer_id, '{k}' AS kind, {k} AS value
 part("ranked_values", " UNION ALL ".join(
     f"SELECT '{k}' AS kind, {k} AS value, article_id, row_number() OVER (PARTITION BY {k} ORDER BY popularity DESC, article_id) AS position FROM catalog"
     for k in cand.CLICK_WEIGHTS))
-part("click_points", "SELECT customer_id, kind, value, CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in cand.CLICK_WEIGHTS.items()) + " END AS points, 1 AS recent, 0 AS session FROM signals")
-part("interest_points", " UNION ALL ".join(f"SELECT user_id AS customer_id, '{k}' AS kind, category AS value, n * {f} AS points, 0 AS recent, 1 AS session FROM interest_rows"
+part("click_points", "SELECT customer_id, kind, value, (CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in cand.CLICK_WEIGHTS.items()) + " END)::DOUBLE AS points, 1 AS recent, 0 AS session FROM signals")
+part("interest_points", " UNION ALL ".join(f"SELECT user_id AS customer_id, '{k}' AS kind, category AS value, (n * {f})::DOUBLE AS points, 0 AS recent, 1 AS session FROM interest_rows"
                                            for k, f in cand.INTEREST_WEIGHTS.items()))
 
 
