@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ def _doubles(c: Column | str) -> Column:
     return _col(c).cast("array<double>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     products = F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
@@ -31,17 +36,21 @@ def is_zero(c: Column | str) -> Column:
 
 def l2_normalize(c: Column | str) -> Column:
     """Unit vector; a zero vector stays zero."""
-    size = length(c)
-    return F.transform(_doubles(c), lambda x: F.when(size > 0, x / size).otherwise(x))
+    return let(
+        _doubles(c),
+        lambda v: let(length(v), lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x))),
+    )
 
 
-def mean_vector(vectors: Column, dim: Column | int) -> Column:
+def mean_vector(vectors: Column, dim: int) -> Column:
     """Element-wise mean of an array of equally long vectors; zeros when there are none."""
-    width = dim if isinstance(dim, Column) else F.lit(dim)
-    zero = F.array_repeat(F.lit(0.0), width.cast("int"))
-    total = F.aggregate(vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-    count = F.size(vectors)
-    return F.transform(total, lambda x: F.when(count > 0, x / count).otherwise(x))
+    zero = F.array_repeat(F.lit(0.0), dim)
+
+    def mean(rows: Column) -> Column:
+        total = F.aggregate(rows, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+        return let(F.greatest(F.size(rows), F.lit(1)), lambda n: F.transform(total, lambda x: x / n))
+
+    return let(vectors, mean)
 
 
 def combine_vectors(columns: Sequence[Column | str], dim: int) -> Column:
@@ -49,8 +58,7 @@ def combine_vectors(columns: Sequence[Column | str], dim: int) -> Column:
     usable = F.filter(
         F.array(*[_doubles(c) for c in columns]), lambda v: v.isNotNull() & F.exists(v, lambda x: x != 0.0)
     )
-    units = F.transform(usable, l2_normalize)
-    return l2_normalize(mean_vector(units, dim))
+    return l2_normalize(mean_vector(F.transform(usable, l2_normalize), dim))
 
 
 def query_mode(text_vec: Column | str, image_vec: Column | str) -> Column:

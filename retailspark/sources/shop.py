@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CUSTOMER_COLUMNS = {
     "customer_id": "CASE WHEN c_nationkey = 7 THEN '' ELSE CAST(c_custkey AS STRING) END",
@@ -79,8 +80,15 @@ def select_list(columns: dict[str, str]) -> str:
     return ", ".join(f"{text} AS {name}" for name, text in columns.items())
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """Scan of a base table; its schema is read from the file footer once per process."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
