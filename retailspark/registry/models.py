@@ -104,7 +104,7 @@ def top_k_similar_approx(spark, d):
     return retrieval.top_k_similar_approx(queries_of(spark, d), items(spark, d), 10, cells=16, probes=6)
 
 
-@query("search_results", """SELECT query_id, h.item_id AS product_id, coalesce(a.prod_name, '') AS name, round(score, 4)::DOUBLE AS score,
+@query("search_results", """SELECT query_id, h.item_id AS product_id, coalesce(a.prod_name, '') AS name, round(CAST(score AS DECIMAL(12,6)), 4)::DOUBLE AS score,
   round(coalesce(p.price, 0), 9)::DOUBLE AS price, position, 10 AS total_count FROM best_hits h LEFT JOIN articles a ON a.article_id = h.item_id
   LEFT JOIN (SELECT article_id, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price FROM transactions_raw GROUP BY 1) p ON p.article_id = a.article_id""")
 def search_results(spark, d):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from retailspark.session import use_keyed_state
+
 RECENT_CLICKS = 20
 SHOWN_CLICKS = 10
 STATE_DAYS = 7
@@ -111,12 +113,13 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clicks = handle.getListState("recent_clicks", "at long, event_id long, item_id string", self.ttl_millis)
-        self.interest = handle.getMapState("session_interest", "category string", "n long", self.ttl_millis)
+        self.interest = handle.getValueState("session_interest", "counts string", self.ttl_millis)
         self.count = handle.getValueState("click_count", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         clicks = [tuple(row) for row in self.clicks.get()]
-        interest = {k[0]: v[0] for k, v in self.interest.iterator()}
+        known = self.interest.get()
+        interest = json.loads(known[0]) if known is not None else {}
         held = self.count.get()
         total = held[0] if held is not None else 0
         clicked = named = False
@@ -133,13 +136,12 @@ class SessionProcessor(StatefulProcessor):
             for category, n in categories[categories != ""].value_counts().items():
                 named = True
                 interest[category] = interest.get(category, 0) + int(n)
-        # Every write renews the lifetime of the whole list or map.
+        # Every write renews the lifetime of the whole list or of all counts.
         if clicked:
             self.clicks.put(clicks)
             self.count.update((total,))
         if named:
-            for category, n in interest.items():
-                self.interest.updateValue((category,), (n,))
+            self.interest.update((json.dumps(interest),))
         yield pd.DataFrame({
             "user_id": [key[0]],
             "recent_clicks": [[c[2] for c in clicks]],
@@ -153,6 +155,7 @@ class SessionProcessor(StatefulProcessor):
 
 def session_state(events: DataFrame, ttl_millis: int = STATE_MILLIS) -> DataFrame:
     """Streaming form of the session state; one row per user and micro-batch with events."""
+    use_keyed_state(events.sparkSession)
     keyed = events.select(
         "user_id", "item_id", "event_type", "category", F.unix_micros(F.col("arrival").cast("timestamp")).alias("at"), "event_id"
     )
@@ -176,11 +179,18 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
-    query.awaitTermination()
+    # State with a lifetime asks for another empty batch every time; such batches would never end here.
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(write).start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set(name, before)
 
 
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
