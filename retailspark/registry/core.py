@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retailspark.plans.staging import staged
 from retailspark.sources.shop import DUCK_TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,17 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+_tables: dict[tuple, DataFrame] = {}
+
+
+def shared(name: str, spark: SparkSession, folder: str, build: Query) -> DataFrame:
+    """A derived table that many queries start from, computed and staged once per session."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _tables:
+        _tables[key] = staged(build(spark, folder), name)
+    return _tables[key]
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         QUERIES[name] = lambda spark, folder: flat(build(spark, folder))

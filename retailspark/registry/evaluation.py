@@ -9,7 +9,7 @@ from retailspark.functions import metrics as list_metrics
 from retailspark.operators import candidates as cand
 from retailspark.operators import evaluation, features, joins, metrics, sampling, windows
 from retailspark.plans.staging import staged
-from retailspark.registry.core import part, query
+from retailspark.registry.core import part, query, shared
 from retailspark.registry.features import catalog, history
 from retailspark.registry.sampling import SEED, train
 from retailspark.registry.tables import articles, customers
@@ -104,10 +104,14 @@ def _scores_sql(points: str) -> str:
             f"max(session) = 1 AS matches_session_interest FROM {points} JOIN ranked_values USING (kind, value) WHERE position <= {LIMIT} GROUP BY 1, 2")
 
 
-def sessions(spark, d):
-    return staged(state(spark, d).select(
+def build_sessions(spark, d):
+    return state(spark, d).select(
         F.col("user_id").alias("customer_id"), "recent_clicks", F.col("session_interest").cast("map<string,double>").alias("session_interest")
-    ), "sessions")
+    )
+
+
+def sessions(spark, d):
+    return shared("sessions", spark, d, build_sessions)
 
 
 @query("recent_signals", "SELECT * FROM signals")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retailspark.functions import clean as c
 from retailspark.operators import features, joins, windows
 from retailspark.plans import flows
-from retailspark.registry.core import part, query
+from retailspark.registry.core import part, query, shared
 from retailspark.registry.tables import SPLIT, articles, customers, sql_date, sql_price, sql_season
 from retailspark.sources import shop, tables
 
@@ -259,17 +259,21 @@ part("catalog", """SELECT *, greatest(9 - (row_number() OVER (PARTITION BY main_
         coalesce(s.is_new_item, false) AS is_new_item FROM articles a LEFT JOIN item_stats s USING (article_id))""")
 
 
-def catalog(spark, d):
+def build_catalog(spark, d):
     return joins.serving_catalog(articles(spark, d), features.item_features(shop.transactions_text(spark, d)))
 
 
+def catalog(spark, d):
+    return shared("catalog", spark, d, build_catalog)
+
+
 _CATALOG_LIST = ("article_id, category, main_category, color, popularity, item_age_days, is_new_item, "
                  "round(cold_start_bonus, 9) AS cold_start_bonus, round(normalized_popularity, 9) AS normalized_popularity, fresh_boost::DOUBLE AS fresh_boost")
 
 
 @query("serving_catalog", f"SELECT {_CATALOG_LIST} FROM catalog")
 def serving_catalog(spark, d):
-    return catalog(spark, d).select(
+    return build_catalog(spark, d).select(
         "article_id", "category", "main_category", "color", "popularity", "item_age_days", "is_new_item",
         "cold_start_bonus", "normalized_popularity", "fresh_boost",
     )

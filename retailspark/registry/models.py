@@ -154,7 +154,7 @@ def ranker_path(spark, d):
     """A ranker fitted once per session and folder, saved in the shared folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _models:
-        rows = staged(train(spark, d), "ranker_train")
+        rows = train(spark, d)
         path = stage_path(rows, "ranker")
         ranking.save_ranker(ranking.fit_ranker(rows), rows, path)
         _models[key] = path
@@ -249,7 +249,7 @@ def recommend_all_without_model(spark, d):
 
 def report(spark, d):
     return staged(flows.full_report(
-        staged(train(spark, d), "train"), sessions(spark, d), catalog(spark, d), customers(spark, d), ranker_path(spark, d), K, 300
+        train(spark, d), sessions(spark, d), catalog(spark, d), customers(spark, d), ranker_path(spark, d), K, 300
     ), "report")
 
 

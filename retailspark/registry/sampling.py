@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retailspark.functions.hashing import draw
 from retailspark.operators import features, sampling
-from retailspark.registry.core import part, query
+from retailspark.registry.core import part, query, shared
 from retailspark.registry.features import known
 from retailspark.registry.tables import articles, customers
 from retailspark.sources import shop
@@ -107,13 +107,17 @@ part("train_rows", f"""SELECT r.*, c.age, c.age_bucket, c.fashion_news_frequency
   JOIN customers c USING (customer_id) JOIN articles a USING (article_id)""")
 
 
-def train(spark, d):
+def build_train(spark, d):
     return sampling.ranking_train(known(spark, d), customers(spark, d), articles(spark, d), 1, SEED)
 
 
+def train(spark, d):
+    return shared("train", spark, d, build_train)
+
+
 @query("ranking_train", "SELECT * REPLACE (round(price, 9) AS price) FROM train_rows")
 def ranking_train(spark, d):
-    return train(spark, d)
+    return build_train(spark, d)
 
 
 @query("ranking_train_stats", """SELECT count(DISTINCT customer_id) AS users_seen, (SELECT count(*) FROM pairs) AS unique_pairs_kept,
