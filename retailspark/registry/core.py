@@ -70,6 +70,11 @@ def shared(name: str, spark: SparkSession, folder: str, build: Query) -> DataFra
     return _tables[key]
 
 
+def forget_shared() -> None:
+    """Make the next queries compute their derived tables anew."""
+    _tables.clear()
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         QUERIES[name] = lambda spark, folder: flat(build(spark, folder))
