@@ -68,24 +68,30 @@ def interest_points(sessions: DataFrame) -> DataFrame:
 def item_lists(catalog: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` articles of every category, main category and color as one array each."""
     parts = [
-        rank_within(catalog.select("article_id", F.col(kind).alias("value"), "popularity"), "value", limit)
-        .select(F.lit(kind).alias("kind"), "value", "article_id")
+        rank_within(
+            catalog.select(
+                "article_id", F.col(kind).alias("value"), "popularity",
+                (F.col("normalized_popularity") + F.col("fresh_boost")).alias("base"),
+            ), "value", limit,
+        ).select(F.lit(kind).alias("kind"), "value", F.struct("article_id", "popularity", "base").alias("item"))
         for kind in CLICK_WEIGHTS
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("kind", "value").agg(F.collect_list("article_id").alias("article_ids"))
+    return rows.groupBy("kind", "value").agg(F.collect_list("item").alias("items"))
 
 
 def signal_scores(points: DataFrame, lists: DataFrame) -> DataFrame:
     """Points per user and item from every list the user's signals name."""
     named = lookup_join(points, lists, ["kind", "value"], "inner", hot_source=points)
     return (
-        named.select("customer_id", "points", "recent", "session", F.explode("article_ids").alias("article_id"))
-        .groupBy("customer_id", "article_id")
+        named.select("customer_id", "points", "recent", "session", F.explode("items").alias("item"))
+        .groupBy("customer_id", F.col("item.article_id").alias("article_id"))
         .agg(
             F.sum("points").alias("signal_score"),
             (F.max("recent") == 1).alias("matches_recent_click_signal"),
             (F.max("session") == 1).alias("matches_session_interest"),
+            F.max("item.popularity").alias("popularity"),
+            F.max("item.base").alias("base"),
         )
     )
 
@@ -137,13 +143,15 @@ def generate_candidates(
     )
 
     points = click_points(recent_signals(sessions, catalog)).unionByName(interest_points(sessions))
-    base = catalog.select("article_id", "popularity", (F.col("normalized_popularity") + F.col("fresh_boost")).alias("base"))
-    signal = signal_scores(points, item_lists(catalog, LOOKUP_FACTOR * pool))
+    lists = staged(item_lists(catalog, LOOKUP_FACTOR * pool), "item_lists")
+    signal = exclude_seen(signal_scores(points, lists), clicks)
+    best = Window.partitionBy("customer_id").orderBy(F.desc("candidate_score"), F.desc("popularity"), "article_id")
+    # A user with a full pool needs no more than its best rows; the others keep all they have.
     scored = staged(
-        exclude_seen(signal, clicks).join(base, "article_id").select(
+        signal.select(
             "customer_id", "article_id", "popularity", (F.col("signal_score") + F.col("base")).alias("candidate_score"),
             "matches_recent_click_signal", "matches_session_interest",
-        ),
+        ).withColumn("place", F.row_number().over(best)).where(F.col("place") <= pool).drop("place"),
         "scored_candidates",
     )
 
@@ -160,7 +168,6 @@ def generate_candidates(
         F.lit(False).alias("matches_recent_click_signal"), F.lit(False).alias("matches_session_interest"),
     )
 
-    best = Window.partitionBy("customer_id").orderBy(F.desc("candidate_score"), F.desc("popularity"), "article_id")
     warm = (
         scored.unionByName(filled)
         .withColumn("candidate_rank", F.row_number().over(best))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from retailspark.functions import clean as c
 from retailspark.operators import candidates as cand
 from retailspark.operators import metrics, sampling, windows
-from retailspark.operators.features import ground_truth
+from retailspark.operators.features import ground_truth, popularity_counts
 from retailspark.operators.joins import cold_start_users
+from retailspark.plans.skew import lookup_join, ordered_position
+from retailspark.plans.staging import staged
+from retailspark.sources.tables import require_columns
 
 FLAG_COLUMNS = ("is_positive", "target", "clicked", "purchased")
 FLAG_WORDS = ("1", "true", "yes")
@@ -122,7 +125,9 @@ def evaluate_lists(
 
 def evaluate_popularity(rows: DataFrame, truth: DataFrame, users: DataFrame, customers: DataFrame,
                         item_count: Column, k: int) -> DataFrame:
-    return evaluate_lists(windows.popularity_top_k(rows, k), truth, users, customers, item_count, k)
+    ranked = windows.popularity_top_k(rows.select("customer_id", "article_id", "popularity"), k)
+    lists = staged(ranked.select("customer_id", "article_id", "position"), "popularity_lists")
+    return evaluate_lists(lists, truth, users, customers, item_count, k)
 
 
 def comparison(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -136,10 +141,6 @@ def comparison(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def evaluate_metadata_baseline(txn: DataFrame, articles: DataFrame, k: int = 10) -> DataFrame:
     """Hold out each user's last item and score the metadata and popularity lists."""
-    from retailspark.operators.features import popularity_counts
-    from retailspark.plans.skew import lookup_join
-    from retailspark.plans.staging import staged
-
     history = staged(windows.leave_last_out(windows.purchase_sequence(txn)), "history")
     counted = popularity_counts(history, articles.select("article_id"))
     recs = cand.metadata_popularity_recs(history, articles, counted, k)
@@ -151,9 +152,6 @@ def evaluate_metadata_baseline(txn: DataFrame, articles: DataFrame, k: int = 10)
 
 def read_ranking_lists(df: DataFrame) -> DataFrame:
     """Ranked and relevant items as arrays; a query id from the text order when there is none."""
-    from retailspark.plans.skew import ordered_position
-    from retailspark.sources.tables import require_columns
-
     require_columns(df, ["ranked_items", "relevant_items"], "ranking lists")
     if "query_id" not in df.columns:
         order = [F.col("ranked_items"), F.col("relevant_items")]
