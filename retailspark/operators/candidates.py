@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from retailspark.functions import clean as c
 from retailspark.operators.joins import exclude_seen
 from retailspark.operators.windows import popular_items, rank_within
-from retailspark.plans.skew import lookup_join
+from retailspark.plans.skew import fits_broadcast, lookup_join
 from retailspark.plans.staging import staged
 
 MIN_POOL = 100
@@ -228,7 +228,11 @@ def metadata_popularity_recs(history: DataFrame, articles: DataFrame, popularity
     wishes = wishes.unionByName(everyone).groupBy("customer_id", "tier", "value").agg(
         F.max("latest").alias("latest"), F.max("owned_n").alias("owned_n")
     )
-    sized = lookup_join(wishes, sizes, ["tier", "value"], "inner", hot_source=None)
+    # Every user asks for the size of the list of all articles.
+    sizes = staged(sizes, "list_sizes")
+    if not fits_broadcast(sizes):
+        wishes = staged(wishes, "wishes")
+    sized = lookup_join(wishes, sizes, ["tier", "value"], "inner", hot_source=wishes)
     unseen = F.col("list_size") - F.col("owned_n")
     in_tier = Window.partitionBy("customer_id", "tier").orderBy(F.desc("latest"), "value")
     earlier = F.coalesce(F.sum(unseen).over(in_tier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -240,6 +244,8 @@ def metadata_popularity_recs(history: DataFrame, articles: DataFrame, popularity
     needed = placed.withColumn("floor", floor).where(F.col("floor") < k).withColumn(
         "position", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("list_size"), F.col("owned_n") + k)))
     ).select("customer_id", "tier", "value", "preference", "position")
+    if not fits_broadcast(ranked):
+        needed = staged(needed, "list_places")
     rows = lookup_join(needed, ranked, ["tier", "value", "position"], "inner", hot_source=needed)
     fresh = exclude_seen(rows, owned)
     first = fresh.groupBy("customer_id", "article_id").agg(F.min(F.struct("tier", "preference", "position")).alias("place"))

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from retailspark.functions.metrics import discount, ideal_dcg
 
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 1024
+
+
+def _score_bucket(score: Column) -> Column:
+    """Ordered buckets: even between -1 and 1, logarithmic beyond, so their number is bounded."""
+    size = F.abs(score)
+    scaled = F.when(size <= 1, score).otherwise(F.signum(score) * (F.log2(size) + 1))
+    return F.floor(scaled * AUC_BUCKETS)
 
 
 def user_scores(ranked: DataFrame, truth: DataFrame, users: DataFrame, k: int) -> DataFrame:
@@ -55,7 +62,7 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> Da
     """
     levels = scored.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
-    ).withColumn("bucket", F.floor(F.col("score") * AUC_BUCKETS))
+    ).withColumn("bucket", _score_bucket(F.col("score")))
     inside = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = levels.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).groupBy("bucket").agg(
         F.sum((F.col("p") * (F.col("below") + F.col("n") / 2)).cast("double")).alias("wins"),

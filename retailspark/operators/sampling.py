@@ -66,15 +66,17 @@ def draw_unseen(
     articles are put in hash order and each request takes a run from a hashed start.
     """
     request = ["customer_id", "anchor", "pool"]
-    sizes = index.groupBy("pool").agg(F.first("pool_size").alias("pool_size"))
+    # A pool may be asked for by every request, so its size must reach them without a shuffle on the pool.
+    sizes = staged(index.groupBy("pool").agg(F.first("pool_size").alias("pool_size")), "pool_sizes")
+    requests = staged(requests, "requests")
     seen_counts = (
         lookup_join(
             seen.select("customer_id", "article_id"), index.select("article_id", "pool"), "article_id", "inner", hot_source=seen
         )
         .groupBy("customer_id", "pool").agg(F.count(F.lit(1)).alias("seen_n"))
     )
-    sized = lookup_join(requests, sizes, "pool", "inner")
-    sized = lookup_join(sized, seen_counts, ["customer_id", "pool"])
+    sized = lookup_join(requests, sizes, "pool", "inner", hot_source=requests)
+    sized = lookup_join(sized, seen_counts, ["customer_id", "pool"], hot_source=requests)
     if blocked is None:
         sized = sized.withColumn("blocked_n", F.lit(0))
     else:
@@ -96,7 +98,9 @@ def draw_unseen(
     ).withColumn(
         "ordinal", draw_below(F.col("pool_size"), seed, F.col("customer_id"), F.col("anchor"), F.col("pool"), F.col("draw_no"))
     )
-    hits = draws.drop("pool_size").join(index.select("pool", "ordinal", "article_id"), ["pool", "ordinal"])
+    hits = lookup_join(
+        draws.drop("pool_size"), index.select("pool", "ordinal", "article_id"), ["pool", "ordinal"], "inner"
+    )
     fresh = unblocked(hits.join(seen.select("customer_id", "article_id"), ["customer_id", "article_id"], "left_anti"))
     first = fresh.groupBy(*request, "article_id").agg(
         F.min("draw_no").alias("draw_no"), F.max("wanted").alias("wanted")
