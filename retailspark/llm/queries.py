@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import bpe, chat_format, exact_dedup, mixing, quality, topk, toxicity
+from retailspark.llm import bpe, chat_format, exact_dedup, mixing, quality, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -36,6 +36,33 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+SUBSTRING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS h
+  FROM words, unnest(range(1, len(w) - 11)) AS u(i) WHERE len(w) >= 13),
+least AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS at FROM windows JOIN least USING (h), unnest(range(0, 13)) AS v(k)
+  WHERE first_doc < doc_id),
+placed AS (SELECT doc_id, i AS at, w[i] AS word FROM words, unnest(range(1, len(w) + 1)) AS u(i)),
+kept AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.at) AS body, count(*) AS n
+  FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", SUBSTRING_SQL)
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.find_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["length"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op2_quality")
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
