@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, quality, substring_dedup, topk, toxicity
+from retailspark.llm import bpe, chat_format, exact_dedup, lm_score, mixing, near_dedup, quality, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -205,3 +205,12 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = lm_score.score_texts(docs, lm_score.in_training(F.col("doc_id")))
+    return scored.withColumn("held_out", ~lm_score.in_training(F.col("doc_id"))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
