@@ -19,7 +19,8 @@ unfinished character between steps and replaces what can never become one.
 
 Defined results: a null text is an empty one and has no ids; the empty text decodes to itself;
 ids are those of the vocabulary file, and the string of a special token in a text becomes its
-id; ids that are not in the vocabulary are skipped when decoding; other columns stay as they are.
+id; ids that are not in the vocabulary are skipped when decoding; other columns stay as they are, but
+one that has the name of the new column is replaced.
 """
 
 from __future__ import annotations

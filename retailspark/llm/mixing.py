@@ -229,9 +229,7 @@ def taken_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed documents: every column of ``docs``, a row per copy taken."""
-    copies = draws(sized_documents(docs), seed).where("copy > 0").groupBy("doc_id").agg(F.max("copy").alias("mix_copies"))
-    return (
-        docs.join(copies.withColumnRenamed("doc_id", "mix_id"), F.expr("doc_id <=> mix_id"))
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-        .select(*docs.columns)
-    )
+    copies = draws(sized_documents(docs), seed).where("copy > 0").groupBy("doc_id").agg(F.max("copy").alias("copies"))
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"]))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), copies["copies"]))
+    return joined.select(*(docs[c] for c in docs.columns), times.alias("mix copy")).drop("mix copy")

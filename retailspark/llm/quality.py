@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retailspark.llm.arrays import LOWER_AZ, U64, byte_groups, column, mix, span_hashes, word_spans
 
@@ -168,14 +169,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     return np.frombuffer(found["model"], np.float64) if found else fit_arrays([], np.zeros(0, int))
 
 
-def score_quality(docs: DataFrame, model: np.ndarray, score_col: str = "score") -> DataFrame:
-    """doc_id and score (0 to 1) of every row."""
+def score_quality(
+    docs: DataFrame, model: np.ndarray, score_col: str = "score", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns ``keep`` of every row and its score (0 to 1)."""
     weights, bias, slope, offset = model[:SLOTS], model[SLOTS], model[SLOTS + 1], model[SLOTS + 2]
+    if score_col in keep:
+        raise ValueError(f"the kept columns already have a {score_col}")
 
     def run(batches):
         for batch in batches:
             margins = np.array([weights[s].sum() + bias for s in indicators(column(batch, "text"))], np.float64)
             scores = 1 / (1 + np.exp(-np.clip(slope * margins + offset, -40, 40)))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores)], ["doc_id", score_col])
+            kept = [column(batch, c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*keep, score_col])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {score_col} double")
+    read = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(score_col, T.DoubleType())])
+    return read.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: np.ndarray, threshold: float) -> DataFrame:
+    """Rows of ``docs``, all columns, with a score of at least ``threshold``."""
+    score_col = "score"
+    while score_col in docs.columns:
+        score_col += "_"
+    return score_quality(docs, model, score_col, tuple(docs.columns)).where(F.col(score_col) >= threshold).drop(score_col)
