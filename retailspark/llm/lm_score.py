@@ -183,7 +183,7 @@ def weigh_top(grams: DataFrame) -> Top:
         sums = [np.bincount(at, weights=c, minlength=len(kept)) for c in (zeros, ones, weight)]
         return pa.table({
             "node": pa.array(kept.astype(np.int64)), "zeros": pa.array(sums[0].astype(np.int64)),
-            "ones": pa.array(sums[1].astype(np.int64)), "weight": pa.array(sums[2]),
+            "ones": pa.array(sums[1].astype(np.int64)), "weight": pa.array(sums[2].astype(float)),
         })
 
     found = grams.groupBy("subtree").applyInArrow(roots, "node long, zeros long, ones long, weight double")
