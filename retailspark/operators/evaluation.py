@@ -155,7 +155,7 @@ def read_ranking_lists(df: DataFrame) -> DataFrame:
     require_columns(df, ["ranked_items", "relevant_items"], "ranking lists")
     if "query_id" not in df.columns:
         order = [F.col("ranked_items"), F.col("relevant_items")]
-        df = ordered_position(df, [], order, F.substring("ranked_items", 1, 8), "query_no")
+        df = ordered_position(df, [], order, name="query_no")
         df = df.withColumn("query_id", F.col("query_no").cast("string")).drop("query_no")
     return df.select(
         "query_id",

@@ -6,15 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailspark.functions.metrics import discount, ideal_dcg
-
-AUC_BUCKETS = 1024
-
-
-def _score_bucket(score: Column) -> Column:
-    """Ordered buckets: even between -1 and 1, logarithmic beyond, so their number is bounded."""
-    size = F.abs(score)
-    scaled = F.when(size <= 1, score).otherwise(F.signum(score) * (F.log2(size) + 1))
-    return F.floor(scaled * AUC_BUCKETS)
+from retailspark.plans.staging import staged
 
 
 def user_scores(ranked: DataFrame, truth: DataFrame, users: DataFrame, k: int) -> DataFrame:
@@ -57,18 +49,19 @@ def coverage_at_k(ranked: DataFrame, candidate_count: int | Column, k: int) -> D
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact AUC with ties at half; NULL when a class is missing.
 
-    Rows collapse to one per score; scores fall into buckets so that the running count of
-    negatives is taken inside a bucket and the earlier buckets' totals are added.
+    Rows collapse to one per score; distinct scores are cut into ranges of like size, so that the
+    running count of negatives is taken inside a range and the earlier ranges' totals are added.
     """
-    levels = scored.groupBy(F.col(score).alias("score")).agg(
+    distinct = scored.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
-    ).withColumn("bucket", _score_bucket(F.col("score")))
+    )
+    levels = staged(distinct.repartitionByRange("score").withColumn("bucket", F.spark_partition_id()), "levels")
     inside = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = levels.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).groupBy("bucket").agg(
         F.sum((F.col("p") * (F.col("below") + F.col("n") / 2)).cast("double")).alias("wins"),
         F.sum("p").alias("p"), F.sum("n").alias("n"),
     )
-    # One row per bucket of the score range.
+    # One row per range.
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     total = per_bucket.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).agg(
         F.sum(F.col("wins") + F.col("p").cast("double") * F.col("before")).alias("wins"),

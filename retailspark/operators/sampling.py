@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from retailspark.functions import clean as c
 from retailspark.functions.hashing import DRAW_RANGE, draw, draw_below
 from retailspark.operators.joins import ITEM_TEXT, USER_PROFILE
-from retailspark.operators.windows import ID_PREFIX
 from retailspark.plans.skew import RANGE_STEP, explode_range, lookup_join, ordered_position
 from retailspark.plans.staging import staged
 
@@ -48,9 +47,7 @@ def positive_pairs(rows: DataFrame, order: Sequence[str], label: str = "label",
 def item_index(items: DataFrame, pool: Column) -> DataFrame:
     """Dense numbers 0 .. size - 1 for the articles of every pool, in id order."""
     pooled = items.select("article_id", pool.alias("pool"))
-    numbered = ordered_position(
-        pooled, ["pool"], [F.col("article_id")], F.substring("article_id", 1, ID_PREFIX), "ordinal", "pool_size"
-    )
+    numbered = ordered_position(pooled, ["pool"], [F.col("article_id")], name="ordinal", total="pool_size")
     return staged(numbered.withColumn("ordinal", F.col("ordinal") - 1), "item_index")
 
 

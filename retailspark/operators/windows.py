@@ -9,13 +9,6 @@ from retailspark.functions import clean as c
 from retailspark.operators.joins import COLD_START_RANKS
 from retailspark.plans.skew import ordered_position
 
-ID_PREFIX = 7
-
-
-def _popularity_bucket():
-    # Many articles share a popularity, so equal ones are cut further by the id's first digits.
-    return F.struct(-F.col("popularity").cast("double"), F.substring("article_id", 1, ID_PREFIX))
-
 
 def segment_top_items(items: DataFrame, k: int = 50) -> DataFrame:
     """Top k bought items of every garment group and price band."""
@@ -40,7 +33,7 @@ def segment_top_items(items: DataFrame, k: int = 50) -> DataFrame:
 
 def popularity_order(items: DataFrame) -> DataFrame:
     """Position of every article by popularity, then id."""
-    return ordered_position(items, [], [F.desc("popularity"), F.col("article_id")], _popularity_bucket())
+    return ordered_position(items, [], [F.desc("popularity"), F.col("article_id")])
 
 
 def popular_items(items: DataFrame, n: int) -> DataFrame:
@@ -54,7 +47,7 @@ def popular_items(items: DataFrame, n: int) -> DataFrame:
 def rank_within(items: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """Popularity position inside each value of a column; ``limit`` keeps the first ones."""
     if limit is None:
-        return ordered_position(items, [column], [F.desc("popularity"), F.col("article_id")], _popularity_bucket())
+        return ordered_position(items, [column], [F.desc("popularity"), F.col("article_id")])
     order = Window.partitionBy(column).orderBy(F.desc("popularity"), "article_id")
     return items.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 

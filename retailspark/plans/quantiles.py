@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1_000_000
 ACCURACY = 10_000
 CUT_DIGITS = 9
 
@@ -17,8 +16,7 @@ def exact_quantiles(
 ) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles of the non-null values of each column.
 
-    Up to ``DIRECT_ROWS`` values the exact aggregate reads them all. Beyond that a
-    bounded sketch first brackets each quantile, and the exact aggregate only sees the
+    A bounded sketch first brackets each quantile, and the exact aggregate only sees the
     values inside the bracket. Cuts are rounded so that every engine compares alike.
     """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -33,27 +31,23 @@ def exact_quantiles(
         return {c: None for c in columns}
 
     wanted: dict[str, list[tuple[float, float, float]]] = {}
-    if max(first[f"n_{c}"] for c in present) <= DIRECT_ROWS:
-        for c in present:
-            wanted[c] = [(float("-inf"), float("inf"), f) for f in fractions]
-    else:
-        brackets = {c: [(first[f"edges_{c}"][2 * i], first[f"edges_{c}"][2 * i + 1]) for i in range(len(fractions))]
-                    for c in present}
-        counted = values.agg(*[
-            expr
-            for c in present
-            for i, (low, high) in enumerate(brackets[c])
-            for expr in (
-                F.count_if(F.col(c) < low).alias(f"below_{c}_{i}"),
-                F.count_if(F.col(c).between(low, high)).alias(f"inside_{c}_{i}"),
-            )
-        ]).first()
-        for c in present:
-            wanted[c] = []
-            for i, f in enumerate(fractions):
-                rank = f * (first[f"n_{c}"] - 1) - counted[f"below_{c}_{i}"]
-                last = max(counted[f"inside_{c}_{i}"] - 1, 1)
-                wanted[c].append((*brackets[c][i], min(max(rank / last, 0.0), 1.0)))
+    brackets = {c: [(first[f"edges_{c}"][2 * i], first[f"edges_{c}"][2 * i + 1]) for i in range(len(fractions))]
+                for c in present}
+    counted = values.agg(*[
+        expr
+        for c in present
+        for i, (low, high) in enumerate(brackets[c])
+        for expr in (
+            F.count_if(F.col(c) < low).alias(f"below_{c}_{i}"),
+            F.count_if(F.col(c).between(low, high)).alias(f"inside_{c}_{i}"),
+        )
+    ]).first()
+    for c in present:
+        wanted[c] = []
+        for i, f in enumerate(fractions):
+            rank = f * (first[f"n_{c}"] - 1) - counted[f"below_{c}_{i}"]
+            last = max(counted[f"inside_{c}_{i}"] - 1, 1)
+            wanted[c].append((*brackets[c][i], min(max(rank / last, 0.0), 1.0)))
 
     cuts = values.agg(*[
         F.percentile(F.when(F.col(c).between(low, high), F.col(c)), f).alias(f"cut_{c}_{i}")

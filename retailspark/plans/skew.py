@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
-HOT_KEYS = 64
-SKETCH_ITEMS = 4096
+from retailspark.plans.staging import staged
+
+MAX_SALTS = 4096
+HOT_KEYS = 1024
+SKETCH_ITEMS = 16384
 _NESTED = ("array", "map", "struct", "variant")
 
 
@@ -24,23 +27,36 @@ def fits_broadcast(df: DataFrame) -> bool:
     return limit_bytes > 0 and estimated_bytes(df) <= limit_bytes
 
 
-_found: dict[tuple, list[int]] = {}
+_found: dict[tuple, dict[int, int]] = {}
+
+
+def shuffle_parts(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def forget_hot_keys() -> None:
+    _found.clear()
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], min_share: float = 0.01) -> list[int]:
-    """Hashes of the join keys that hold at least ``min_share`` of the rows.
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int | None = None) -> dict[int, int]:
+    """Hashes of the join keys that hold more than one task's share of the rows, with the pieces to cut them into.
 
-    A frequent-items sketch finds them in one pass over the key columns without
-    shuffling the keys; at most ``HOT_KEYS`` numbers reach the driver. A key missed or
-    reported by mistake only changes how rows are spread, never the result.
+    With ``parts`` tasks, a key is hot from a share of 1 / parts on and is cut into share x parts pieces,
+    so a piece holds about as much as a task without it. A frequent-items sketch finds the keys in one
+    pass over the key columns without shuffling them; at most ``HOT_KEYS`` numbers reach the driver. A
+    key missed or reported by mistake only changes how rows are spread, never the result.
     """
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(on), min_share)
+    parts = parts or shuffle_parts(df)
+    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(on), parts)
     if memo not in _found:
         row = df.select(F.xxhash64(*on).alias("key_hash")).agg(
             F.expr(f"approx_top_k(key_hash, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top"),
             F.count(F.lit(1)).alias("n"),
         ).first()
-        _found[memo] = [t["item"] for t in row["top"] or [] if t["count"] >= row["n"] * min_share]
+        _found[memo] = {
+            t["item"]: min(math.ceil(t["count"] * parts / row["n"]) + 1, MAX_SALTS)
+            for t in row["top"] or [] if t["count"] * parts >= row["n"]
+        }
     return _found[memo]
 
 
@@ -49,21 +65,19 @@ def salted_join(
     right: DataFrame,
     on: Sequence[str],
     how: str,
-    hot: Sequence[int],
-    salts: int = SALTS,
+    hot: dict[int, int],
 ) -> DataFrame:
-    """Join a large ``left`` to ``right``, cutting hot left keys into ``salts`` pieces.
+    """Join a large ``left`` to ``right``, cutting each hot left key into its number of pieces.
 
     Only rows of ``right`` with a hot key are repeated, once per piece.
     """
     on = list(on)
-    is_hot = F.xxhash64(*on).isin(list(hot))
+    known = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+    salts = F.coalesce(known[F.xxhash64(*on)], F.lit(1))
     flat = [f.name for f in left.schema.fields if not f.dataType.typeName().startswith(_NESTED)]
-    piece = F.pmod(F.xxhash64(*flat), F.lit(salts)).cast("int")
-    pieces = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (
-        left.withColumn("salt", F.when(is_hot, piece).otherwise(F.lit(0)))
-        .join(right.withColumn("salt", F.explode(pieces)), [*on, "salt"], how)
+        left.withColumn("salt", F.pmod(F.xxhash64(*flat), salts).cast("int"))
+        .join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*on, "salt"], how)
         .drop("salt")
     )
 
@@ -85,7 +99,7 @@ def lookup_join(
     on = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
-    hot = hot_keys(hot_source, on) if hot_source is not None else []
+    hot = hot_keys(hot_source, on) if hot_source is not None else {}
     return salted_join(left, right, on, how, hot) if hot else left.join(right, on, how)
 
 
@@ -93,18 +107,24 @@ def ordered_position(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Column | None = None,
     name: str = "position",
     total: str | None = None,
 ) -> DataFrame:
     """Exact 1-based position inside each key without sorting a whole key in one task.
 
-    ``bucket`` must grow with ``order``, so that rows of a smaller bucket come first.
-    Rows are numbered inside (key, bucket); the sizes of earlier buckets are added.
-    ``total`` names a column for the key's row count.
+    Rows are cut into ranges of (key, order), as many as the session shuffles into and of like
+    size whatever the values look like; equal orders are cut only if ``order`` tells them apart.
+    Rows are numbered inside (key, range); the sizes of earlier ranges are added. The ranges are
+    staged, so both passes see the same ones. A ``bucket`` that grows with ``order`` and is known to be even,
+    such as a part of a hash, saves the staging. ``total`` names a column for the key's row count.
     """
     keys = list(keys)
-    cut = df.withColumn("pos_bucket", bucket)
+    if bucket is None:
+        ranges = df.repartitionByRange(*keys, *order).withColumn("pos_bucket", F.spark_partition_id())
+        cut = staged(ranges, "ranges")
+    else:
+        cut = df.withColumn("pos_bucket", bucket)
     sizes = cut.groupBy(*keys, "pos_bucket").agg(F.count(F.lit(1)).alias("bucket_rows"))
     before = Window.partitionBy(*keys).orderBy("pos_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(

@@ -297,10 +297,10 @@ def rank_within(spark, d):
 
 
 @query("lookup_lists", """SELECT color AS value, position, article_id FROM (SELECT color, article_id,
-  row_number() OVER (PARTITION BY color ORDER BY popularity DESC, article_id) AS position FROM catalog) WHERE position <= 400""")
+  row_number() OVER (PARTITION BY color ORDER BY popularity DESC, article_id) AS position FROM catalog)""")
 def lookup_lists(spark, d):
     items = catalog(spark, d).select("article_id", "color", "popularity")
-    return windows.rank_within(items, "color", 400).select(F.col("color").alias("value"), "position", "article_id")
+    return windows.rank_within(items, "color").select(F.col("color").alias("value"), "position", "article_id")
 
 
 @query("cold_start_bonus", "SELECT article_id, round(cold_start_bonus, 9) AS cold_start_bonus FROM catalog")

@@ -86,8 +86,8 @@ def fit_dimension(spark, d):
     )
 
 
-part("all_hits", """SELECT q.item_id AS query_id, i.item_id, round(list_dot_product(q.embedding, i.embedding), 6) + 0.0 AS score FROM unit_items q CROSS JOIN unit_items i""")
-part("best_hits", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS position FROM all_hits) WHERE position <= 10")
+part("all_hits", """SELECT q.item_id AS query_id, i.item_id, list_dot_product(q.embedding, i.embedding) AS score FROM unit_items q CROSS JOIN unit_items i""")
+part("best_hits", "SELECT * REPLACE (round(score, 6) + 0.0 AS score) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS position FROM all_hits) WHERE position <= 10")
 
 
 def queries_of(spark, d):
@@ -96,12 +96,12 @@ def queries_of(spark, d):
 
 @query("top_k_similar", "SELECT * FROM best_hits")
 def top_k_similar(spark, d):
-    return retrieval.top_k_similar(queries_of(spark, d), items(spark, d), 10)
+    return retrieval.top_k_similar(queries_of(spark, d), items(spark, d), 10, DIM)
 
 
 @query("top_k_similar_approx")
 def top_k_similar_approx(spark, d):
-    return retrieval.top_k_similar_approx(queries_of(spark, d), items(spark, d), 10, cells=16, probes=6)
+    return retrieval.top_k_similar_approx(queries_of(spark, d), items(spark, d), 10, cells=16, probes=6, dim=DIM)
 
 
 @query("search_results", """SELECT query_id, h.item_id AS product_id, coalesce(a.prod_name, '') AS name, round(CAST(score AS DECIMAL(12,6)), 4)::DOUBLE AS score,
@@ -133,8 +133,8 @@ def save_and_load_embeddings(spark, d):
 part("user_vectors", f"SELECT item_id AS customer_id, {D} AS embedding, category FROM item_embeddings")
 
 
-@query("user_item_top_k", f"""SELECT customer_id, article_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS position
-  FROM (SELECT u.customer_id, i.item_id AS article_id, round(list_dot_product(u.embedding, CAST(i.embedding AS DOUBLE[])), 6) + 0.0 AS score
+@query("user_item_top_k", f"""SELECT customer_id, article_id, round(score, 6) + 0.0 AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS position
+  FROM (SELECT u.customer_id, i.item_id AS article_id, list_dot_product(u.embedding, CAST(i.embedding AS DOUBLE[])) AS score
         FROM user_vectors u CROSS JOIN item_embeddings i WHERE u.category <> i.category)) WHERE position <= 10""")
 def user_item_top_k(spark, d):
     own = items(spark, d)
@@ -143,7 +143,7 @@ def user_item_top_k(spark, d):
     seen = own.select(F.col("item_id").alias("customer_id"), "category").join(
         own.select(F.col("item_id").alias("article_id"), "category"), "category"
     ).select("customer_id", "article_id")
-    return retrieval.user_item_top_k(users, own.withColumnRenamed("item_id", "article_id"), 10, seen)
+    return retrieval.user_item_top_k(users, own.withColumnRenamed("item_id", "article_id"), 10, seen, DIM)
 
 
 # --- ranking -------------------------------------------------------------------------
@@ -400,7 +400,7 @@ part("boot_diffs", "SELECT replicate, avg(value) FILTER (grp = 'treatment') - av
 
 @query("bootstrap_ci", f"""SELECT 0.95::DOUBLE AS confidence_level, round(list_sort(list(diff))[6], 9) AS lower, round(list_sort(list(diff))[{int((1 - 0.05 / 2) * REPLICATES)}], 9) AS upper FROM boot_diffs""")
 def bootstrap_ci(spark, d):
-    return abtest.bootstrap_ci(shop.ab_long(spark, d), 0.95, REPLICATES, SEED)
+    return abtest.bootstrap_ci(shop.ab_long(spark, d), 0.95, REPLICATES, SEED, method="rows")
 
 
 part("perm_rows", "SELECT value, row_number() OVER (ORDER BY grp, value) AS row_no FROM ab")
@@ -411,12 +411,12 @@ part("perm_places", f"""SELECT replicate, value, row_number() OVER (PARTITION BY
 @query("permutation_p", f"""SELECT round((count(*) FILTER (abs(diff) >= abs((SELECT avg(value) FILTER (grp = 'treatment') - avg(value) FILTER (grp = 'control') FROM ab)) - 1e-12) + 1) / ({REPLICATES} + 1), 9) AS p_value
   FROM (SELECT replicate, avg(value) FILTER (NOT in_control) - avg(value) FILTER (in_control) AS diff FROM perm_places GROUP BY 1)""")
 def permutation_p(spark, d):
-    return abtest.permutation_p(shop.ab_long(spark, d), REPLICATES, SEED)
+    return abtest.permutation_p(shop.ab_long(spark, d), REPLICATES, SEED, method="rows")
 
 
 @query("compare_group_means")
 def compare_group_means(spark, d):
-    return abtest.compare_group_means(shop.ab_long(spark, d), 0.95, 500, 500, SEED)
+    return abtest.compare_group_means(shop.ab_long(spark, d), 0.95, 500, 500, SEED, method="rows")
 
 
 # --- streams -------------------------------------------------------------------------

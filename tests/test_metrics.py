@@ -93,12 +93,12 @@ def test_wide_table_and_missing_group(spark):
 
 
 def test_both_drawing_methods_agree(spark):
-    intervals = [abtest.bootstrap_ci(ab(spark), 0.95, 400, 1, single_draws=s).first() for s in (True, False)]
+    intervals = [abtest.bootstrap_ci(ab(spark), 0.95, 400, 1, method=s).first() for s in abtest.METHODS]
     for row in intervals:
         assert row.lower == pytest.approx(-0.1, abs=0.11) and row.upper == pytest.approx(0.7, abs=0.11)
     # 20 rows with 11 ones: the shuffled difference is at least 0.3 in about 37 % of all cases.
-    for s in (True, False):
-        assert abtest.permutation_p(ab(spark), 400, 1, single_draws=s).first().p_value == pytest.approx(0.37, abs=0.1)
+    for s in abtest.METHODS:
+        assert abtest.permutation_p(ab(spark), 400, 1, method=s).first().p_value == pytest.approx(0.37, abs=0.1)
 
 
 def test_positive_flag_conventions(spark):

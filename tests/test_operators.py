@@ -13,11 +13,12 @@ def test_salted_join_equals_plain_join(spark):
         F.when(F.col("id") < 900, 7).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v")
     )
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    hot = skew.hot_keys(left, ["k"], 0.3)
-    assert len(hot) == 1
+    hot = skew.hot_keys(left, ["k"], 4)
+    assert list(hot.values()) == [3]
+    assert len(skew.hot_keys(left, ["k"], 1000)) == 50
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-        assert sorted(map(tuple, skew.salted_join(left, right, ["k"], how, hot, 4).collect()), key=str) == want
+        assert sorted(map(tuple, skew.salted_join(left, right, ["k"], how, hot).collect()), key=str) == want
 
 
 def test_ordered_position_is_a_row_number(spark):
@@ -29,6 +30,30 @@ def test_ordered_position_is_a_row_number(spark):
         assert rows == sorted(rows, key=lambda r: (r.x, r.id))
 
 
+@pytest.mark.parametrize("shape", ["padded", "hex", "constant"])
+def test_ranges_are_even_whatever_the_values_look_like(spark, shape):
+    """Padded ids, hashes and one constant popularity are all cut into ranges of like size."""
+    ids = {"padded": F.lpad(F.col("id").cast("string"), 10, "0"), "hex": F.sha2(F.col("id").cast("string"), 256),
+           "constant": F.lpad(F.col("id").cast("string"), 10, "0")}[shape]
+    df = spark.range(4000).select(ids.alias("article_id"), F.lit(3 if shape == "constant" else 0).alias("popularity"))
+    ranges = df.repartitionByRange(F.desc("popularity"), "article_id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in ranges) <= 2 * 4000 / len(ranges)
+    got = [r.article_id for r in windows.popularity_order(df).orderBy("position").collect()]
+    assert got == sorted(got) and len(got) == 4000
+
+
+def test_pieces_of_hot_keys_stay_near_the_mean(spark):
+    """One key with a third of the rows and one with half a percent."""
+    n, parts = 30_000, 50
+    left = spark.range(n).select(
+        F.when(F.col("id") < n // 3, -1).when(F.col("id") < n // 3 + n // 200, -2).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    hot = skew.hot_keys(left, ["k"], parts)
+    assert len(hot) == 1 and 17 <= max(hot.values()) <= 19
+    salts = F.coalesce(F.create_map(*[F.lit(x) for p in hot.items() for x in p])[F.xxhash64("k")], F.lit(1))
+    pieces = left.groupBy("k", F.pmod(F.xxhash64("k", "v"), salts)).count().agg(F.max("count")).first()[0]
+    assert pieces <= 2 * n / parts
+
+
 def test_explode_range_needs_no_large_array(spark):
     df = spark.createDataFrame([(1, 10000), (2, 0), (3, 1)], "k int, n int")
     out = skew.explode_range(df, F.col("n"), "i")
@@ -39,10 +64,11 @@ def test_explode_range_needs_no_large_array(spark):
 
 def test_bracketed_quantiles_are_exact(spark, monkeypatch):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5003).cast("double").alias("x"), F.lit(None).cast("double").alias("empty"))
-    direct = quantiles.exact_quantiles(df, ["x", "empty"], (0.33, 0.66))
-    monkeypatch.setattr(quantiles, "DIRECT_ROWS", 10)
-    assert quantiles.exact_quantiles(df, ["x", "empty"], (0.33, 0.66)) == direct
-    assert direct["empty"] is None
+    direct = df.agg(*[F.percentile("x", f) for f in (0.33, 0.66)]).first()
+    for accuracy in (10_000, 50):
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        found = quantiles.exact_quantiles(df, ["x", "empty"], (0.33, 0.66))
+        assert found["x"] == pytest.approx(list(direct)) and found["empty"] is None
 
 
 def txn(spark, rows):
