@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.llm.arrays import LOWER_AZ, U64, byte_groups, column, mix, span_hashes, window_hashes, word_spans
 from retailspark.llm.components import components
 from retailspark.llm.exchange import answers_in_order, bucket_cuts, in_chunks, layout
+from retailspark.plans.skew import lookup_join
 from retailspark.plans.staging import staged
 
 SHINGLE = 5
@@ -251,21 +252,20 @@ def with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
 def large_family_edges(large: DataFrame, edges: DataFrame, block_docs: int) -> DataFrame:
     """Links of large families between documents that the blocks left unconnected and all others."""
     label = components(edges)
-    placed = large.join(label, F.col("doc_id") == F.col("node"), "left").select(
+    placed = staged(large.join(label, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "family", "signature", "shingles", F.coalesce("component", "doc_id").alias("label")
-    )
+    ), "near-large")
     sizes = placed.groupBy("family", "label").count()
-    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    counts = sizes.join(main, "family").groupBy("family", "main").agg(
-        F.sum(F.when(F.col("label") == F.col("main"), F.col("count")).otherwise(0)).alias("main_docs"),
-        F.sum(F.when(F.col("label") != F.col("main"), F.col("count")).otherwise(0)).alias("left_docs"),
-    ).where("left_docs > 0")
+    counts = sizes.groupBy("family").agg(
+        F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("main_docs"),
+        (F.sum("count") - F.max("count")).alias("left_docs"),
+    )
 
     def blocks(n):
         return F.greatest(F.ceil(n / F.lit(block_docs)), F.lit(1)).cast("int")
 
     spread = (
-        placed.join(counts, "family")
+        lookup_join(placed, staged(counts.where("left_docs > 0"), "near-counts"), "family", "inner", placed.select("family"))
         .withColumn("is_left", F.col("label") != F.col("main"))
         .withColumn("left_blocks", blocks(F.col("left_docs")))
         .withColumn("blocks", F.col("left_blocks") + blocks(F.col("main_docs")))
@@ -304,8 +304,9 @@ def near_groups(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
         "doc_id", F.col("component").alias("family"), "signature"
     )
     sets = staged(with_shingles(docs, members), "near-sets")
-    sized = sets.join(sets.groupBy("family").agg(F.count(F.lit(1)).alias("docs")), "family")
-    blocks = F.greatest(F.ceil(F.col("docs") / F.lit(block_docs)), F.lit(1))
+    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > block_docs)
+    sized = lookup_join(sets, staged(sizes, "near-sizes"), "family", "left", sets.select("family"))
+    blocks = F.coalesce(F.ceil(F.col("docs") / F.lit(block_docs)), F.lit(1))
     blocked = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("is_left", F.lit(True)).withColumn(
         "label", F.col("doc_id")
     )
