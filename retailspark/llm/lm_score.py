@@ -37,7 +37,7 @@ from retailspark.plans.staging import staged
 
 DEPTH = 5
 NEAREST = 2
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 GRAM, WORD = 1, 2
 PART_ENTRIES = 1 << 20
 
@@ -66,7 +66,7 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     if not keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     every, summed = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every = every[order]
     starts = np.flatnonzero(np.diff(every, prepend=~every[:1]) != 0) if len(every) else np.zeros(0, np.int64)
     return every[starts], (np.add.reduceat(summed[order], starts) if len(starts) else np.zeros(0, np.int64))
@@ -78,10 +78,11 @@ class Tally:
     def __init__(self):
         self.keys, self.counts, self.waiting = [], [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        keys, counts = merge([keys], [counts])
+    def add(self, keys: np.ndarray, counted: bool) -> None:
+        """Count the keys, or only note them."""
+        keys, counts = np.unique(keys, return_counts=True)
         self.keys.append(keys)
-        self.counts.append(counts)
+        self.counts.append(counts if counted else np.zeros(len(keys), np.int64))
         self.waiting += len(keys)
         if self.waiting > PART_ENTRIES:
             self.take()
@@ -128,9 +129,10 @@ def count_corpus(docs: DataFrame, learn: Column, buckets: int) -> Counts:
             learned = np.asarray(batch.column(1).fill_null(False))
             for start, end, codes, at, keys, first in text_groups(batch.column(0)):
                 mine = learned[start:end]
-                grams.add(codes, np.repeat(mine, np.diff(at)).astype(np.int64))
-                used = np.repeat(mine, np.diff(first))
-                words.add(keys[used], np.ones(int(used.sum()), np.int64))
+                used = np.repeat(mine, np.diff(at))
+                grams.add(codes[used], True)
+                grams.add(codes[~used], False)
+                words.add(keys[np.repeat(mine, np.diff(first))], True)
         for kind, found in ((GRAM, grams), (WORD, words)):
             keys, counts = found.take()
             if len(keys):
@@ -231,8 +233,8 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     def distinct(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         grams, words = Tally(), Tally()
         for _, _, codes, _, keys, _ in text_groups(rows["text"].combine_chunks()):
-            grams.add(codes, np.zeros(len(codes), np.int64))
-            words.add(keys, np.zeros(len(keys), np.int64))
+            grams.add(codes, False)
+            words.add(keys, False)
         return grams.take()[0], words.take()[0]
 
     def ordered(grams: np.ndarray, words: np.ndarray):
@@ -277,7 +279,10 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
         out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
         ids = rows["doc_id"]
         if rows.num_rows:
-            grams, words = distinct(rows)
+            groups = []
+            for _, _, codes, at, keys, first in text_groups(rows["text"].combine_chunks()):
+                groups.append((at, first, *np.unique(codes, return_inverse=True), *np.unique(keys, return_inverse=True)))
+            grams, words = (np.unique(np.concatenate([g[i] for g in groups])) for i in (2, 4))
             lookup = {}
             told = {(r["kind"], r["bucket"]): r["answer"] for r in answers.to_pylist()}
             for kind, keys, found, _ in ordered(grams, words):
@@ -285,13 +290,13 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
                 values = np.concatenate([np.zeros(0, number), *(np.frombuffer(told[kind, b], number) for b in found.tolist())])
                 order = np.argsort(keys, kind="stable")
                 lookup[kind] = keys[order], values[order].astype(float)
-            for start, end, codes, at, keys, first in text_groups(rows["text"].combine_chunks()):
+            for at, first, codes, code_of, keys, key_of in groups:
                 sorted_grams, chances = lookup[GRAM]
-                score = np.add.reduceat(chances[np.searchsorted(sorted_grams, codes)], at[:-1])
+                score = np.add.reduceat(chances[np.searchsorted(sorted_grams, codes)][code_of], at[:-1])
                 seen = np.zeros(0)
                 if len(keys):
                     sorted_words, times = lookup[WORD]
-                    seen = times[np.searchsorted(sorted_words, keys)]
+                    seen = times[np.searchsorted(sorted_words, keys)][key_of]
                 cost = np.concatenate([[0.0], np.cumsum(np.log10(seen + 0.5) - log_all)])
                 have = np.concatenate([[0], np.cumsum(seen > 0)])
                 out["n_tokens"].append(np.diff(first) + 1)
