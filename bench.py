@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from retailspark.registry import catalog, core  # noqa: E402
+from retailspark.plans.skew import forget_hot_keys  # noqa: E402
 from retailspark.session import build_session  # noqa: E402
 
 HEADLINE = (
@@ -26,9 +28,11 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-")
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+           "spark.checkpoint.dir": shared,
            "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "1m"},
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,6 +42,7 @@ def main() -> None:
         if os.path.isdir(small):
             catalog.QUERIES[name](spark, small).write.format("noop").mode("overwrite").save()
         core.forget_shared()
+        forget_hot_keys()
         started = time.perf_counter()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from retailspark.functions import clean as c
 from retailspark.sources.tables import require_columns
 
+# Column names of the raw and cleaned tables.
 ARTICLE_TEXT = (
     "prod_name", "product_type_name", "product_group_name", "colour_group_name",
     "perceived_colour_master_name", "department_name", "section_name", "garment_group_name",

@@ -23,6 +23,7 @@ PREFERENCES = {
     "preferred_colour_master": "perceived_colour_master_name",
     "preferred_main_category": "main_category",
 }
+# Columns of the user and item tables, in the order other tools read them.
 USER_COLUMNS = (
     "customer_id", "age", "age_bucket", "fashion_news_frequency", "club_member_status",
     "purchase_count", "purchase_count_7d", "purchase_count_30d", "purchase_count_90d",

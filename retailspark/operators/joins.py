@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from retailspark.functions import clean as c
 from retailspark.plans.skew import lookup_join
 
+# Column names of the feature tables.
 SIGNAL_ATTRIBUTES = ("garment_group_name", "perceived_colour_master_name", "main_category", "color")
 CATALOG_TEXT = ("category", "main_category", "color")
 USER_PROFILE = ("age", "age_bucket", "fashion_news_frequency", "club_member_status")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +14,15 @@ from pyspark.sql import types as T
 
 from retailspark.functions import clean as c
 from retailspark.operators.joins import align_features
+from retailspark.operators.metrics import roc_auc
+from retailspark.operators.sampling import stratified_split
+from retailspark.plans.staging import staged
 from retailspark.sources.tables import path_exists
 
 # Ids, the label, and the two columns that give the label away.
 EXCLUDED = ("label", "customer_id", "article_id", "price", "sales_channel_id")
 MAX_ITERATIONS = 1000
+HASHED_FEATURES = 1 << 16
 
 
 def training_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -43,20 +47,20 @@ def fill_features(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) ->
 
 
 def fit_ranker(train: DataFrame, max_iterations: int = MAX_ITERATIONS) -> PipelineModel:
-    """Logistic regression on numbers and one-hot text; unseen text counts as nothing."""
+    """Logistic regression on numbers and hashed text values.
+
+    Text is hashed into ``HASHED_FEATURES`` indicators, so no list of distinct values is collected and a column of
+    many values costs no more than one of few.
+    """
     numeric, text = training_columns(train)
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).first()
     if stats["labels"] < 2:
         raise ValueError("training needs two label classes")
     stages = []
     if text:
-        # The extra index of unseen text is the last one, which the encoder leaves out.
-        stages += [
-            StringIndexer(inputCols=text, outputCols=[f"{n}_index" for n in text], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"{n}_index" for n in text], outputCols=[f"{n}_hot" for n in text], dropLast=True),
-        ]
+        stages.append(FeatureHasher(inputCols=text, outputCol="hashed_text", numFeatures=HASHED_FEATURES))
     stages += [
-        VectorAssembler(inputCols=[*numeric, *[f"{n}_hot" for n in text]], outputCol="features"),
+        VectorAssembler(inputCols=[*numeric, *(["hashed_text"] if text else [])], outputCol="features"),
         LogisticRegression(
             labelCol="label", maxIter=max_iterations, standardization=False, regParam=1.0 / max(stats["n"], 1)
         ),
@@ -67,10 +71,35 @@ def fit_ranker(train: DataFrame, max_iterations: int = MAX_ITERATIONS) -> Pipeli
     return Pipeline(stages=stages).fit(prepared)
 
 
-def save_ranker(model: PipelineModel, train: DataFrame, path: str) -> None:
-    """The model and, next to it, the feature columns it expects."""
+def fit_ranker_holdout(
+    rows: DataFrame, ratio: float = 0.2, seed: int = 42, max_iterations: int = MAX_ITERATIONS
+) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Model of the training side of a stratified split, its one-row report, and the validation rows with scores.
+
+    The report counts rows of both sides and feature columns and has the AUC of the validation side.
+    """
+    split = staged(stratified_split(rows, "label", ["customer_id", "article_id"], ratio, seed), "ranker_split")
+    train, validation = (split.where(F.col("side") == s).drop("side") for s in ("train", "validation"))
+    model = fit_ranker(train, max_iterations)
+    numeric, text = training_columns(train)
+    scored = staged(score_candidates(validation, model, numeric, text), "ranker_validation")
+    report = split.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("side") == "train").alias("train_rows"),
+        F.count_if(F.col("side") == "validation").alias("validation_rows"),
+        F.count_if((F.col("side") == "validation") & (F.col("label") == 1)).alias("validation_positives"),
+    ).withColumn("feature_columns", F.lit(len(numeric) + len(text))).withColumn(
+        "validation_auc", roc_auc(scored).scalar()
+    )
+    return model, report, scored
+
+
+def save_ranker(model: PipelineModel, train: DataFrame, path: str, report: DataFrame | None = None) -> None:
+    """The model and, next to it, the feature columns it expects and the report of its fit."""
     numeric, text = training_columns(train)
     model.write().overwrite().save(f"{path}/model")
+    if report is not None:
+        report.write.mode("overwrite").json(f"{path}/report")
     spark = train.sparkSession
     spark.createDataFrame([(numeric, text)], "numeric array<string>, text array<string>").write.mode("overwrite").json(
         f"{path}/features"

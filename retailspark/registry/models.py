@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import uuid
 
 from pyspark.sql import functions as F
@@ -156,7 +158,8 @@ def ranker_path(spark, d):
     if key not in _models:
         rows = train(spark, d)
         path = stage_path(rows, "ranker")
-        ranking.save_ranker(ranking.fit_ranker(rows), rows, path)
+        model, report, _ = ranking.fit_ranker_holdout(rows, 0.2, SEED)
+        ranking.save_ranker(model, rows, path, report)
         _models[key] = path
     return _models[key]
 
@@ -174,6 +177,18 @@ def training_matrix(spark, d):
     )
 
 
+@query("ranker_holdout", """SELECT sum(n)::BIGINT AS rows, sum(n - held)::BIGINT AS train_rows, sum(held)::BIGINT AS validation_rows,
+  sum(held) FILTER (label = 1)::BIGINT AS validation_positives, true AS better_than_chance
+  FROM (SELECT label, count(*) AS n, round(count(*) * 0.2)::BIGINT AS held FROM train_rows GROUP BY label)""")
+def ranker_holdout(spark, d):
+    report = spark.read.schema(
+        "rows long, train_rows long, validation_rows long, validation_positives long, feature_columns int, validation_auc double"
+    ).json(f"{ranker_path(spark, d)}/report")
+    return report.select(
+        "rows", "train_rows", "validation_rows", "validation_positives", (F.col("validation_auc") > 0.5).alias("better_than_chance")
+    )
+
+
 @query("fit_and_score_ranker")
 def fit_and_score_ranker(spark, d):
     return scored_rows(spark, d)[0].select("customer_id", "article_id", "label", "score")
@@ -267,7 +282,7 @@ def evaluate_recommender(spark, d):
 def baseline_report_markdown(spark, d):
     record = report(spark, d)
     reports.write_report_json(record, stage_path(record, "report_json"))
-    return reports.render_report_markdown(record, K, 300)
+    return reports.render_report_markdown(record, os.path.basename(d.rstrip("/")))
 
 
 @query("metric_alerts_of_report")
@@ -350,12 +365,13 @@ def validation_recall(spark, d):
 def retrieval_lift(spark, d):
     rows, truth, users = rows_with_truth(spark, d)
     truth, users = staged(truth, "truth"), staged(users, "users")
-    user_vectors, item_vectors = retrieval_train.fit_embeddings(truth)
-    from retailspark.operators import metrics
-
-    ranked = retrieval.user_item_top_k(user_vectors, item_vectors, K)
-    embedding = metrics.mean_scores(metrics.user_scores(ranked, truth, users, K))
-    generated = evaluation.evaluate_candidates(sessions(spark, d), catalog(spark, d), truth, users, K, pool=500)
+    # Vectors come from four fifths of the pairs; both ways are scored on the fifth they have not seen.
+    held = sampling.draw_below(10_000, SEED, F.col("customer_id"), F.col("article_id")) < 2000
+    split = staged(truth.select("customer_id", "article_id").withColumn("held", held), "lift_pairs")
+    known, unseen = split.where("NOT held").drop("held"), split.where("held").drop("held")
+    judged = staged(unseen.select("customer_id").distinct().join(users, "customer_id", "left_semi"), "lift_users")
+    embedding = retrieval_train.validation_recall(*retrieval_train.fit_embeddings(known), known, unseen, K)
+    generated = evaluation.evaluate_candidates(sessions(spark, d), catalog(spark, d), unseen, judged, K, pool=500)
     return evaluation.retrieval_lift(embedding, generated)
 
 
@@ -372,7 +388,11 @@ def experiment_summary(spark, d):
             F.lit(run["experiment_id"]).alias("experiment_id"), "recall", "users_evaluated"
         )
         results = recall if results is None else results.unionByName(recall)
-    return retrieval_train.experiment_summary(grid, results, 0.0)
+    held = own.where("held").select("customer_id", "article_id").distinct()
+    generated = evaluation.evaluate_candidates(
+        sessions(spark, d), catalog(spark, d), held, held.select("customer_id").distinct(), 300, pool=500
+    )
+    return retrieval_train.experiment_summary(grid, results, generated.select("recall").scalar())
 
 
 # --- experiments ---------------------------------------------------------------------
