@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -33,3 +37,13 @@ def test_query_equals_its_sql(spark, name):
 def test_plans_have_no_cartesian_product(spark, name):
     plan = entry_points.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_entry_points_work_without_the_optional_operators():
+    """With the pipeline and its operators gone, everything else is still registered."""
+    code = (
+        "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
+        "assert 'user_features' in e.queries() and not [q for q in (*e.queries(), *e.oracle_sql()) if q.startswith('op')]"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
