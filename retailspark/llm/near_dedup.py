@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.llm.arrays import LOWER_AZ, U64, byte_groups, column, mix, span_hashes, window_hashes, word_spans
-from retailspark.llm.components import components
+from retailspark.llm.components import components, stars
 from retailspark.llm.exchange import answers_in_order, bucket_cuts, in_chunks, layout
 from retailspark.plans.skew import lookup_join
 from retailspark.plans.staging import staged
@@ -125,7 +125,7 @@ class Postings:
 
 
 def family_edges(known: DataFrame, chunks: int, buckets: int) -> DataFrame:
-    """Each document of a list with the list's smallest document."""
+    """Each document of a list with the list's smallest document, contracted inside a chunk to one edge per document."""
 
     def ask(rows: pa.Table) -> pa.Table:
         lists = Postings(rows)
@@ -159,9 +159,11 @@ def family_edges(known: DataFrame, chunks: int, buckets: int) -> DataFrame:
         lists = Postings(rows)
         least = np.frombuffer(b"".join(answers_in_order(answers, 1)), np.int64)
         least = np.where(lists.sizes > 1, np.minimum(least, lists.least), least)
-        pairs = np.column_stack([lists.docs, np.repeat(least, lists.sizes)])
-        pairs = np.unique(pairs[(pairs[:, 1] != NO_ID) & (pairs[:, 0] != pairs[:, 1])], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        least = np.repeat(least, lists.sizes)
+        joined = (least != NO_ID) & (least != lists.docs)
+        nodes, roots = stars(lists.docs[joined], least[joined])
+        below = nodes != roots
+        return pa.table({"a": pa.array(nodes[below]), "b": pa.array(roots[below])})
 
     by_chunk = in_chunks(known, chunks, "signature").groupBy("chunk")
     asked = by_chunk.applyInArrow(ask, "bucket int, chunk int, keys binary, docs binary")
