@@ -43,7 +43,7 @@ part("session_rows", """SELECT u.user_id, coalesce(c.recent_clicks, '') AS recen
   LEFT JOIN (SELECT user_id, count(*) AS click_count FROM click_events GROUP BY 1) n USING (user_id)""")
 
 
-def _interest_text(name="session_interest"):
+def interest_text(name="session_interest"):
     entries = F.array_sort(F.map_entries(name))
     return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",").alias("session_interest")
 
@@ -54,7 +54,7 @@ def state(spark, d):
 
 @query("session_state_batch", "SELECT * FROM session_rows")
 def session_state_batch(spark, d):
-    return state(spark, d).select("user_id", "recent_clicks", _interest_text(), "click_count")
+    return state(spark, d).select("user_id", "recent_clicks", interest_text(), "click_count")
 
 
 @query("user_features_view", """SELECT c.customer_id AS user_id, array_to_string(string_split(coalesce(s.recent_clicks, ''), ',')[1:10], ',') AS recent_clicks,
@@ -62,7 +62,7 @@ def session_state_batch(spark, d):
 def user_features_view(spark, d):
     users = customers(spark, d).select(F.col("customer_id").alias("user_id"))
     return session_state.user_features_view(users, state(spark, d)).select(
-        "user_id", "recent_clicks", _interest_text(), "click_count"
+        "user_id", "recent_clicks", interest_text(), "click_count"
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from retailspark.operators import features
 from retailspark.plans import flows
 from retailspark.plans.staging import stage_path, staged
 from retailspark.registry.core import part, query
-from retailspark.registry.evaluation import K, POOL, enriched_rows, rows_with_truth, sessions
+from retailspark.registry.evaluation import K, POOL, enriched_rows, interest_text, rows_with_truth, sessions
 from retailspark.registry.features import catalog
 from retailspark.registry.sampling import HOLDOUT, SEED, pairs, sql_draw, train
 from retailspark.registry.tables import articles, customers
@@ -106,6 +105,12 @@ def top_k_similar_approx(spark, d):
     return retrieval.top_k_similar_approx(queries_of(spark, d), items(spark, d), 10, cells=16, probes=6, dim=DIM)
 
 
+@query("top_k_similar_all_cells", "SELECT * FROM best_hits")
+def top_k_similar_all_cells(spark, d):
+    """Probing every cell is exact."""
+    return retrieval.top_k_similar_approx(queries_of(spark, d), items(spark, d), 10, cells=16, probes=16, dim=DIM)
+
+
 @query("search_results", """SELECT query_id, h.item_id AS product_id, coalesce(a.prod_name, '') AS name, round(CAST(score AS DECIMAL(12,6)), 4)::DOUBLE AS score,
   round(coalesce(p.price, 0), 9)::DOUBLE AS price, position, 10 AS total_count FROM best_hits h LEFT JOIN articles a ON a.article_id = h.item_id
   LEFT JOIN (SELECT article_id, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price FROM transactions_raw GROUP BY 1) p ON p.article_id = a.article_id""")
@@ -194,12 +199,28 @@ def fit_and_score_ranker(spark, d):
     return scored_rows(spark, d)[0].select("customer_id", "article_id", "label", "score")
 
 
+@query("ranker_scores_are_chances", "SELECT customer_id, article_id, label, true AS is_chance FROM eval_rows")
+def ranker_scores_are_chances(spark, d):
+    return scored_rows(spark, d)[0].select(
+        "customer_id", "article_id", "label", F.col("score").between(0, 1).alias("is_chance")
+    )
+
+
 @query("evaluate_ranker")
 def evaluate_ranker(spark, d):
     scored, truth, users = scored_rows(spark, d)
     return evaluation.ranking_summary(staged(scored, "scored"), truth, users, K)
 
 
+@query("ranker_summary_bounds", """SELECT count(*) AS rows_evaluated, (SELECT count(*) FROM eval_users) AS users_evaluated, true AS better_than_chance, true AS shares
+  FROM eval_rows""")
+def ranker_summary_bounds(spark, d):
+    return evaluate_ranker(spark, d).select(
+        "rows_evaluated", "users_evaluated", (F.col("auc") > 0.5).alias("better_than_chance"),
+        (F.col("hit_rate").between(0, 1) & F.col("ndcg").between(0, 1)).alias("shares"),
+    )
+
+
 @query("align_features", "SELECT c_custkey, CAST(NULL AS STRING) AS region FROM customer")
 def align_features(spark, d):
     return joins.align_features(shop.table(spark, d, "customer"), ["c_custkey", "region"]).withColumn(
@@ -346,7 +367,7 @@ def _by_interaction(spark, d):
     return staged(own.withColumn("held", held), "held_pairs")
 
 
-@query("fit_embeddings")
+@query("fit_embeddings", "SELECT customer_id, 16 AS width FROM (SELECT DISTINCT customer_id FROM pairs) UNION ALL SELECT article_id, 16 FROM (SELECT DISTINCT article_id FROM pairs)")
 def fit_embeddings(spark, d):
     users, vectors_ = retrieval_train.fit_embeddings(pairs(spark, d))
     return users.select("customer_id", F.size("embedding").alias("width")).unionByName(
@@ -434,9 +455,25 @@ def permutation_p(spark, d):
     return abtest.permutation_p(shop.ab_long(spark, d), REPLICATES, SEED, method="rows")
 
 
-@query("compare_group_means")
+@query("compare_group_means", f"""SELECT round(c, 9) AS control_mean, round(t, 9) AS treatment_mean, round(t - c, 9) AS absolute_diff, round((t - c) / c, 9) AS relative_lift,
+  (SELECT round((count(*) FILTER (abs(diff) >= abs(t - c) - 1e-12) + 1) / ({REPLICATES} + 1), 9)
+   FROM (SELECT replicate, avg(value) FILTER (NOT in_control) - avg(value) FILTER (in_control) AS diff FROM perm_places GROUP BY 1)) AS p_value,
+  0.95::DOUBLE AS confidence_level, (SELECT round(list_sort(list(diff))[6], 9) FROM boot_diffs) AS lower,
+  (SELECT round(list_sort(list(diff))[{int((1 - 0.05 / 2) * REPLICATES)}], 9) FROM boot_diffs) AS upper
+  FROM (SELECT avg(value) FILTER (grp = 'control') AS c, avg(value) FILTER (grp = 'treatment') AS t FROM ab)""")
 def compare_group_means(spark, d):
-    return abtest.compare_group_means(shop.ab_long(spark, d), 0.95, 500, 500, SEED, method="rows")
+    return abtest.compare_group_means(shop.ab_long(spark, d), 0.95, REPLICATES, REPLICATES, SEED, method="rows")
+
+
+@query("compare_group_means_by_counts", """SELECT round(c, 9) AS control_mean, round(t, 9) AS treatment_mean, true AS inside, true AS probable
+  FROM (SELECT avg(value) FILTER (grp = 'control') AS c, avg(value) FILTER (grp = 'treatment') AS t FROM ab)""")
+def compare_group_means_by_counts(spark, d):
+    """Drawn counts: the observed difference lies inside its own interval, and the p-value is a share."""
+    row = abtest.compare_group_means(shop.ab_long(spark, d), 0.95, 200, 200, SEED)
+    return row.select(
+        "control_mean", "treatment_mean", F.col("absolute_diff").between(F.col("lower"), F.col("upper")).alias("inside"),
+        ((F.col("p_value") > 0) & (F.col("p_value") <= 1)).alias("probable"),
+    )
 
 
 # --- streams -------------------------------------------------------------------------
@@ -453,24 +490,33 @@ def _run_folder(spark, name):
     return f"{shared_folder(spark)}/retailspark/{name}-{uuid.uuid4().hex}"
 
 
-@query("read_events_stream")
+@query("read_events_stream", "SELECT user_id, item_id, event_type, category, event_id FROM interaction_events")
 def read_events_stream(spark, d):
     folder = _run_folder(spark, "events")
     session_state.run_to_table(session_state.read_events(spark, event_lines(spark, d)), folder, f"{folder}-progress", "append")
     return spark.read.parquet(f"{folder}/batch=*").select("user_id", "item_id", "event_type", "category", "event_id")
 
 
-@query("session_state_stream")
+# Lifetimes run on the clock, so a replay of the whole history at once lets nothing expire.
+part("replay_clicks", """SELECT user_id, string_agg(item_id, ',' ORDER BY place) FILTER (place <= 20) AS recent_clicks, count(*) AS click_count
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival DESC, event_id DESC) AS place FROM click_events) GROUP BY 1""")
+part("replay_interest", """SELECT user_id, string_agg(concat(category, '=', n), ',' ORDER BY category) AS interest
+  FROM (SELECT user_id, category, count(*) AS n FROM named_events GROUP BY 1, 2) GROUP BY 1""")
+
+
+@query("session_state_stream", """SELECT user_id, coalesce(recent_clicks, '') AS recent_clicks, coalesce(interest, '') AS session_interest, coalesce(click_count, 0) AS click_count
+  FROM (SELECT DISTINCT user_id FROM interaction_events) LEFT JOIN replay_clicks USING (user_id) LEFT JOIN replay_interest USING (user_id)""")
 def session_state_stream(spark, d):
     folder = _run_folder(spark, "state")
     stream = session_state.session_state(session_state.read_events(spark, event_lines(spark, d)))
     session_state.run_to_table(stream, folder, f"{folder}-progress")
     return session_state.latest_state(spark, folder).select(
-        "user_id", "recent_clicks", F.to_json("session_interest").alias("session_interest"), "click_count"
+        "user_id", "recent_clicks", interest_text(), "click_count"
     )
 
 
-@query("retrain_watch_stream")
+@query("retrain_watch_stream", """SELECT 0 AS batch_id, n AS new_events, n AS event_count, 'v1' AS old_version, 'v2' AS new_version
+  FROM (SELECT count(*) AS n FROM interaction_events) WHERE n >= 1000""")
 def retrain_watch_stream(spark, d):
     folder = _run_folder(spark, "retrain")
     monitor.run_retrain_watch(session_state.read_events(spark, event_lines(spark, d)), folder, f"{folder}-progress", 1000)
