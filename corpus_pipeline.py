@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the mixed documents, and the text they decode to."""
-    coded = bpe.encode_bpe(docs, bpe_path()).drop("text")
-    return bpe.decode_bpe(coded, bpe_path(), out="text").withColumn("n_tokens", F.size("ids").cast("long"))
+    coded = bpe.encode_bpe(docs, bpe_path(), decoded="decoded text")
+    return coded.drop("text").withColumnRenamed("decoded text", "text").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{both}]+|\s+(?!\S)|\s+"
 PIECE_CHARS = 1 << 16
-CACHE_ENTRIES = 1 << 19
+CACHED_WORDS, CACHED_BORDERS = 1 << 19, 1 << 19
 NEVER = 1 << 60
 DECODE_STEP = 1 << 14
 GROUP_BYTES = 4 << 20
@@ -80,9 +80,11 @@ class Transducer:
         self.bytes_of = {n: t for t, n in vocab.items()} | {n: t.encode() for t, n in self.special.items()}
         self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int]]] = {}
         # A token that its own bytes do not merge into never occurs in an encoding.
-        self.usable = {t for t in vocab if len(t) == 1 or t in self.halves and self.merges_to(*self.halves[t])}
+        self.usable = {
+            t: n for t, n in vocab.items() if len(t) == 1 or t in self.halves and self.merges_to(*self.halves[t])
+        }
         self.lookahead = max(map(len, self.usable))
-        self.keeps: dict[tuple[bytes, bytes], bool] = {}
+        self.keeps: dict[int, bool] = {}  # by both ids in one number
         self.cache: dict[str, bytes] = {}
         self.special_split = (
             regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -141,11 +143,12 @@ class Transducer:
         return self.first_crossing(left, right) == (left, right)
 
     def keeps_border(self, left: bytes, right: bytes) -> bool:
-        known = self.keeps.get((left, right))
+        key = self.usable[left] << 32 | self.usable[right]
+        known = self.keeps.get(key)
         if known is None:
-            if len(self.keeps) >= CACHE_ENTRIES:
+            if len(self.keeps) >= CACHED_BORDERS:
                 self.keeps.clear()
-            known = self.keeps[left, right] = self.first_crossing(left, right) is None
+            known = self.keeps[key] = self.first_crossing(left, right) is None
         return known
 
     def stream(self, word: bytes) -> Iterator[list[bytes]]:
@@ -192,30 +195,35 @@ class Transducer:
 
     def whole_word(self, word: bytes) -> bytes:
         """Ids of a word that fits the window: the same recurrence as ``stream``, nothing to emit before its end."""
-        usable, keeps, packed = self.usable, self.keeps, self.packed
-        if word in usable:
+        number, keeps, packed = self.usable.get, self.keeps, self.packed
+        if word in packed and number(word) is not None:
             return packed[word]
-        last, ids = [b""], [b""]
+        last, starts = [-1], [0]  # id of the last token of each prefix, and where it begins
         for end in range(1, len(word) + 1):
             for begin in range(end):
-                token = word[begin:end]
-                if token in usable:
+                token = number(word[begin:end])
+                if token is not None:
                     if begin:
-                        pair = (last[begin], token)
-                        known = keeps.get(pair)
-                        if not (self.keeps_border(*pair) if known is None else known):
+                        known = keeps.get(last[begin] << 32 | token)
+                        if known is None:
+                            known = self.keeps_border(self.bytes_of[last[begin]], word[begin:end])
+                        if not known:
                             continue
                     last.append(token)
-                    ids.append(ids[begin] + packed[token])
+                    starts.append(begin)
                     break
-        return ids[-1]
+        ids, end = [], len(word)
+        while end:
+            ids.append(packed[word[starts[end]:end]])
+            end = starts[end]
+        return b"".join(ids[::-1])
 
     def word_ids(self, word: str) -> bytes:
         """Ids of a word as packed 32-bit numbers, remembered if the word is short."""
         raw = word.encode()
         if len(raw) >= self.lookahead:
             return b"".join([self.packed[t] for run in self.stream(raw) for t in run])
-        if len(self.cache) >= CACHE_ENTRIES:
+        if len(self.cache) >= CACHED_WORDS:
             self.cache.clear()
         ids = self.cache[word] = self.whole_word(raw)
         return ids
@@ -275,8 +283,11 @@ def row_groups(lengths: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[i
         yield start, len(lengths)
 
 
-def encode_bpe(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of ``text_col`` as an array column."""
+def encode_bpe(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the ids of ``text_col`` as an array column; with ``decoded``, also the text read back from these ids.
+
+    Both at once needs one Python worker per task, and so one copy of the vocabulary, instead of two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = transducer(path)
@@ -288,11 +299,15 @@ def encode_bpe(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
                 offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), values)
-                rows = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids], [*rows.schema.names, out])
-
-    df = df.drop(out)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+                rows, added = batch.slice(start, end - start), [ids]
+                if decoded is not None:
+                    added.append(pa.array([model.decode(np.frombuffer(p, np.int32)) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, *names])
+
+    names = [out] if decoded is None else [out, decoded]
+    types = dict(zip(names, (T.ArrayType(T.IntegerType()), T.StringType())))
+    df = df.drop(*names)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in types.items())]))
 
 
 def decode_bpe(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -197,8 +197,7 @@ def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.encode_bpe(docs, bpe_path()).drop("text")
-    back = bpe.decode_bpe(coded, bpe_path())
+    back = bpe.encode_bpe(docs, bpe_path(), decoded="decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -90,6 +90,8 @@ def test_columns(spark, make_docs, with_clashes, library):
     assert len(got) == len(rows)
     for r in got:
         assert list(r.ids) == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
+    at_once = bpe.encode_bpe(docs, PATH, decoded="decoded").select("doc_id", "text", "ids", "decoded").collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     assert bpe.encode_bpe(make_docs([]), PATH).count() == 0
     nothing = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.decoded for r in bpe.decode_bpe(nothing, PATH).collect()} == {""}
