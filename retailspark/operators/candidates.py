@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from retailspark.functions import clean as c
 from retailspark.operators.joins import exclude_seen
 from retailspark.operators.windows import popular_items, rank_within
-from retailspark.plans.skew import fits_broadcast, lookup_join
+from retailspark.plans.skew import explode_range, fits_broadcast, lookup_join
 from retailspark.plans.staging import staged
 
 MIN_POOL = 100
@@ -102,9 +102,8 @@ def _is_cold(clicks_n: Column, interest: Column) -> Column:
 
 def _from_popular(users: DataFrame, positions: Column, popular: DataFrame) -> DataFrame:
     """The first ``positions`` rows of the popular list for every user."""
-    return users.withColumn("position", F.explode(F.sequence(F.lit(1), positions.cast("int")))).join(
-        F.broadcast(popular), "position"
-    )
+    asked = explode_range(users, positions, "place").withColumn("position", (F.col("place") + 1).cast("int")).drop("place")
+    return lookup_join(asked, popular, "position", "inner")
 
 
 def cold_start_candidates(users: DataFrame, popular: DataFrame, pool: int) -> DataFrame:
@@ -132,7 +131,7 @@ def generate_candidates(
     if max_clicks is None:
         max_clicks = sessions.agg(F.coalesce(F.max(F.size("recent_clicks")), F.lit(0)).alias("n")).first()["n"]
     # At most pool + max_clicks rows, whatever the catalog holds.
-    popular = popular_items(catalog, pool + max(max_clicks, 0))
+    popular = staged(popular_items(catalog, pool + max(max_clicks, 0)), "popular_items")
 
     clicks = _clicks(sessions)
     click_counts = clicks.groupBy("customer_id").agg(F.count(F.lit(1)).alias("clicks_n"))
@@ -241,9 +240,10 @@ def metadata_popularity_recs(history: DataFrame, articles: DataFrame, popularity
                           F.sum(unseen).over(Window.partitionBy("customer_id", "tier")).alias("tier_total"))
     # Lists of one tier share no article, so a tier's total is a floor for what came before.
     floor = F.greatest(F.coalesce(F.max("tier_total").over(tier_totals), F.lit(0)), F.col("earlier"))
-    needed = placed.withColumn("floor", floor).where(F.col("floor") < k).withColumn(
-        "position", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("list_size"), F.col("owned_n") + k)))
-    ).select("customer_id", "tier", "value", "preference", "position")
+    wanted = placed.withColumn("floor", floor).where(F.col("floor") < k)
+    needed = explode_range(wanted, F.least(F.col("list_size"), F.col("owned_n") + k), "place").select(
+        "customer_id", "tier", "value", "preference", (F.col("place") + 1).alias("position")
+    )
     if not fits_broadcast(ranked):
         needed = staged(needed, "list_places")
     rows = lookup_join(needed, ranked, ["tier", "value", "position"], "inner", hot_source=needed)

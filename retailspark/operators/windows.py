@@ -9,6 +9,8 @@ from retailspark.functions import clean as c
 from retailspark.operators.joins import COLD_START_RANKS
 from retailspark.plans.skew import ordered_position
 
+PIECE_ROWS = 65_536
+
 
 def segment_top_items(items: DataFrame, k: int = 50) -> DataFrame:
     """Top k bought items of every garment group and price band."""
@@ -78,18 +80,20 @@ def score_ranking(scored: DataFrame, k: int) -> DataFrame:
 def purchase_sequence(txn: DataFrame) -> DataFrame:
     """Purchases in time order, consecutive repeats of one article collapsed.
 
-    Rows are compared inside one customer and day; the first row of a day is compared
-    with the last article of the customer's previous day, which a small table holds.
+    Rows are compared inside one piece: a customer, a day and a range of row numbers, so that
+    no customer's day is sorted in one task. The first row of a piece is compared with the last
+    article of the customer's previous piece, which a small table holds.
     """
     place = F.struct("row_no", "article_id")
-    rows = txn.select("customer_id", "article_id", "t_dat", "row_no")
-    days = rows.groupBy("customer_id", "t_dat").agg(F.max_by("article_id", place).alias("last_article"))
-    previous_day = Window.partitionBy("customer_id").orderBy("t_dat")
-    days = days.select("customer_id", "t_dat", F.lag("last_article").over(previous_day).alias("earlier_article"))
-    inside_day = Window.partitionBy("customer_id", "t_dat").orderBy("row_no", "article_id")
+    piece = ["customer_id", "t_dat", "piece"]
+    rows = txn.select("customer_id", "article_id", "t_dat", "row_no").withColumn("piece", F.floor(F.col("row_no") / PIECE_ROWS))
+    pieces = rows.groupBy(*piece).agg(F.max_by("article_id", place).alias("last_article"))
+    previous_piece = Window.partitionBy("customer_id").orderBy("t_dat", "piece")
+    pieces = pieces.select(*piece, F.lag("last_article").over(previous_piece).alias("earlier_article"))
+    inside = Window.partitionBy(*piece).orderBy("row_no", "article_id")
     return (
-        rows.withColumn("previous", F.lag("article_id").over(inside_day))
-        .join(days, ["customer_id", "t_dat"])
+        rows.withColumn("previous", F.lag("article_id").over(inside))
+        .join(pieces, piece)
         .withColumn("previous", F.coalesce("previous", "earlier_article"))
         .where(F.col("previous").isNull() | (F.col("previous") != F.col("article_id")))
         .select("customer_id", "article_id", "t_dat", "row_no")

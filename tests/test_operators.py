@@ -75,6 +75,20 @@ def txn(spark, rows):
     return spark.createDataFrame(rows, "customer_id string, t_dat date, row_no long, article_id string")
 
 
+def test_hot_day_is_cut_into_pieces(spark, monkeypatch):
+    """A day of many rows gives the same sequence whatever the size of its pieces."""
+    import datetime as dt
+    day = dt.date(2020, 1, 1)
+    rows = txn(spark, [("u", day, i, "abcaab"[i * i % 6]) for i in range(60)] + [("v", day, 7, "x"), ("v", day, 7, "x")])
+    sequences = []
+    for size in (1, 4, 1000):
+        monkeypatch.setattr(windows, "PIECE_ROWS", size)
+        sequences.append([tuple(r) for r in windows.purchase_sequence(rows).orderBy("customer_id", "row_no").collect()])
+    assert sequences[0] == sequences[1] == sequences[2]
+    own = [r[1] for r in sequences[0] if r[0] == "u"]
+    assert own == [k for k, _ in itertools.groupby("abcaab"[i * i % 6] for i in range(60))]
+
+
 def test_sequence_collapses_repeats_across_days(spark):
     import datetime as dt
     d1, d2 = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
