@@ -17,6 +17,8 @@ from retailspark.llm.queries import bpe_path
 from retailspark.plans.staging import staged
 
 QUALITY_THRESHOLD = 0.3
+#: Workers of earlier stages still hold memory when texts are encoded.
+CACHED_WORDS = 1 << 17
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the mixed documents, and the text they decode to."""
-    coded = bpe.encode_bpe(docs, bpe_path(), decoded="decoded text")
+    coded = bpe.encode_bpe(docs, bpe_path(), decoded="decoded text", cached_words=CACHED_WORDS)
     return coded.drop("text").withColumnRenamed("decoded text", "text").withColumn("n_tokens", F.size("ids").cast("long"))
 
 

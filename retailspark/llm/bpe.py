@@ -86,6 +86,7 @@ class Transducer:
         self.lookahead = max(map(len, self.usable))
         self.keeps: dict[int, bool] = {}  # by both ids in one number
         self.cache: dict[str, bytes] = {}
+        self.cached_words = CACHED_WORDS
         self.special_split = (
             regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
             if self.special else None
@@ -223,7 +224,7 @@ class Transducer:
         raw = word.encode()
         if len(raw) >= self.lookahead:
             return b"".join([self.packed[t] for run in self.stream(raw) for t in run])
-        if len(self.cache) >= CACHED_WORDS:
+        if len(self.cache) >= self.cached_words:
             self.cache.clear()
         ids = self.cache[word] = self.whole_word(raw)
         return ids
@@ -283,14 +284,19 @@ def row_groups(lengths: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[i
         yield start, len(lengths)
 
 
-def encode_bpe(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode_bpe(
+    df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None,
+    cached_words: int = CACHED_WORDS,
+) -> DataFrame:
     """Add the ids of ``text_col`` as an array column; with ``decoded``, also the text read back from these ids.
 
-    Both at once needs one Python worker per task, and so one copy of the vocabulary, instead of two.
+    Both at once needs one Python worker per task, and so one copy of the vocabulary, instead of two. A worker
+    remembers the ids of ``cached_words`` words, about 150 bytes each; fewer cost time, not results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = transducer(path)
+        model.cached_words = cached_words
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
