@@ -145,7 +145,7 @@ def fit_windows(texts: list[list[bytes]], labels: np.ndarray) -> ToxicityModel:
     ordinary = [t for t, y, s in zip(texts, labels, seen) if s and y == 0]
     marks = telling_stretches(toxic, ordinary)
     toxic_bytes = _dictionary(TOXIC_BYTES, [b"".join(marks[i:i + 4]) for i in range(0, len(marks), 4)])
-    ordinary_bytes = _dictionary(ORDINARY_BYTES, [b"".join(t[:32]) for t in ordinary if t])
+    ordinary_bytes = _dictionary(ORDINARY_BYTES, [b"".join(t) for t in ordinary if t])
     scales = Scales(ordinary_bytes, toxic_bytes)
     judged = np.flatnonzero(~seen) if not seen.all() else np.arange(len(texts))
     evidence = np.array([scales.evidence(texts[i]) for i in judged])

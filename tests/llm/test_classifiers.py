@@ -91,6 +91,18 @@ def test_toxicity_learns_marks_from_enough_texts():
     assert (predicted == (labels[500:] == 1)).mean() >= 0.97
 
 
+def test_ordinary_dictionary_knows_the_ends_of_texts():
+    draw = random.Random(5)
+
+    def text(bad):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+        return " ".join(words + ["grumbax" if bad else "quillwort zymurgy"] * 40)
+
+    labels = np.arange(60) % 2
+    model = toxicity.fit_windows([list(toxicity.windows(text(y))) for y in labels], labels)
+    assert b"quillwort zymurgy" in model.ordinary
+
+
 @pytest.mark.parametrize("operator", ["quality", "toxicity"])
 def test_defined_cases(spark, make_docs, with_clashes, operator):
     fit, score = ((quality.fit_quality, quality.score_quality) if operator == "quality"
