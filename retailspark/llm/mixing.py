@@ -13,7 +13,8 @@
    seeded by the node. A shard's counts come from the nodes on its own path, so each task draws
    its shards by itself. The block ranks of a source are permuted and dealt in that order, so
    shards draw disjoint blocks.
-4. Inside a shard, documents are ordered by hash.
+4. Inside a shard, documents are ordered by hash. ``mix`` returns each shard as one partition in this order;
+   ``taken_words`` only sums the copies.
 
 Everything is seeded; reruns agree. No group holds more than one block of documents or one row
 per source: sources are counted first and may number ``MAX_SOURCES``, else an error is raised.
@@ -217,9 +218,18 @@ def taken_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mixed documents: every column of ``docs``, a row per copy taken."""
-    copies = draws(sized_documents(docs), seed).where("copy > 0").groupBy("doc_id").agg(F.max("copy").alias("copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"]))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), copies["copies"]))
-    return joined.select(*(docs[c] for c in docs.columns), times.alias("mix copy")).drop("mix copy")
+def mix(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mixed documents: every column of ``docs``, a row per copy taken, a partition per shard, in the order of ``place``."""
+    taken = draws(sized_documents(docs), seed, shard_words).where("copy > 0")
+    # Rows that repeat an id have the same draws, so each finds one row per copy.
+    copies = staged(
+        taken.groupBy(F.col("doc_id").alias("mix id"), F.col("copy").alias("mix copy")).agg(
+            F.min(F.struct("shard", "place")).alias("mix at")
+        ),
+        "mix-copies",
+    )
+    last = copies.agg(F.max("mix at.shard").alias("shard")).first()["shard"]
+    shard, place = F.col("mix at")["shard"], F.col("mix at")["place"]
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix id"]))
+    dealt = joined.repartitionById((last or 0) + 1, shard.cast("int")).sortWithinPartitions(shard, place, "mix id", "mix copy")
+    return dealt.drop("mix id", "mix copy", "mix at")

@@ -96,6 +96,24 @@ def test_shards_are_even_and_blocks_disjoint(make_docs, monkeypatch):
     assert max(shards.values()) < 2.5 * min(shards.values())
 
 
+@pytest.mark.parametrize("words", [[], [800]])
+def test_mix_returns_shards_in_hash_order(spark, make_docs, with_clashes, tmp_path, monkeypatch, words):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    docs = with_clashes(make_docs(docs_of({f"s{i}": [10] * 90 for i in range(4)}))).repartition(3)
+    want = defaultdict(list)
+    for r in mixing.draws(mixing.sized_documents(docs), mixing.SEED, *words).where("copy > 0").collect():
+        want[r.shard].append((r.place, r.doc_id))
+    assert len(want) == 1 if not words else len(want) >= 5
+    mixing.mix(docs, mixing.SEED, *words).write.parquet(f"{tmp_path}/mixed")
+    read = spark.read.parquet(f"{tmp_path}/mixed").select("doc_id", F.input_file_name().alias("file")).collect()
+    got = defaultdict(list)
+    for r in read:
+        got[r.file].append(r.doc_id)
+    assert sorted(got.values()) == sorted([i for _, i in sorted(rows)] for rows in want.values())
+    if words:
+        assert any(max(Counter(ids).values()) > 1 for ids in [sum(got.values(), [])])
+
+
 def test_splitting_tree_gives_every_block_to_one_shard():
     counts = [50, 3, 0, 200, 1]
     for shards in (1, 2, 3, 8, 13):
