@@ -12,14 +12,14 @@ not assumed.
 
 Defined results: a null text counts as empty; an empty table gives no rows; a null id is never
 preferred to a number, and a group with null ids alone keeps them; rows that repeat an id and
-its text get the same answer; other columns of the input are not read.
+its text get the same answer, of them ``keep_first`` keeps one; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailspark.plans.staging import staged
@@ -87,7 +87,16 @@ def exact_groups(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, that are the first of their group."""
+    """One row of each group, all columns: of rows that repeat its first id and text, the one whose raw text sorts first."""
     groups = exact_groups(docs, id_col, text_col)
-    first = groups.where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first[id_col]), "left_semi")
+    first = staged(
+        groups.where("kept").groupBy(F.col("doc_id").alias("first id"), F.col("digest").alias("first digest")).count(), "exact-first"
+    )
+    keyed = docs.withColumn("own digest", sha256_hex(single_spaced(F.col(text_col))))
+    kept = keyed.join(
+        first, F.col(id_col).eqNullSafe(F.col("first id")) & (F.col("own digest") == F.col("first digest")), "left_semi"
+    )
+    if not first.where("count > 1").isEmpty():
+        same = Window.partitionBy(id_col, "own digest").orderBy(text_col)
+        kept = kept.withColumn("own row", F.row_number().over(same)).where("`own row` = 1").drop("own row")
+    return kept.drop("own digest")

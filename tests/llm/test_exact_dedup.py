@@ -60,3 +60,13 @@ def test_keep_first_keeps_all_columns(make_docs, with_clashes):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, v in expected(ROWS).items() if v[2]}
     assert exact_dedup.keep_first(make_docs([])).count() == 0
+
+
+def test_keep_first_keeps_one_row_of_each_text(make_docs, with_clashes):
+    rows = [(3, "B"), (5, "A"), (5, "B"), (5, "A"), (3, "B "), (3, "B"), (None, "A"), (None, "C"), (None, "C"), (None, None), (7, "")]
+    docs = with_clashes(make_docs(rows)).repartition(3)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, (r.text or "")) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, "B"), (5, "A"), (None, "C"), (7, ""), (3, "B ")], key=str)
+    assert exact_dedup.keep_first(make_docs([(3, "B"), (5, "A"), (5, "B")])).count() == 2
