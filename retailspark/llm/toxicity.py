@@ -11,9 +11,9 @@ a score.
 The stretches are words of toxic texts with a byte n-gram that is frequent there and absent, or
 nearly so, from ordinary texts.
 
-The dictionaries are trained on at most ``max_rows`` labelled texts of each class (the first by
-hash of their id) and on at most ``MAX_WINDOWS`` windows of each, so the one task that trains
-them has a fixed bound. Scoring compresses every window of every whole text.
+The model is fitted in one task on at most ``max_rows`` labelled texts of each class (the first by
+hash of their id). These are whole: the dictionaries and the curve see every window, as scoring
+does, so the task's memory follows the length of the texts; for very long ones, lower ``max_rows``.
 
 Defined results: null and empty texts have no windows and get the score of no evidence; rows
 without a label are not learned from; if one class is missing, every score is the smoothed share
@@ -41,8 +41,6 @@ LEVEL = 6
 ORDINARY_BYTES = 1 << 16
 TOXIC_BYTES = 512
 MAX_ROWS = 2_000
-MAX_WINDOWS = 256
-MAX_WINDOW_BYTES = 2_048
 GRAMS = (4, 5, 6, 8)
 MIN_DOCS, MIN_SHARE, MIN_LOG_RATIO = 4, 0.03, 4.0
 TOP = 3
@@ -171,24 +169,10 @@ def logistic_plane(evidence: np.ndarray, labels: np.ndarray) -> tuple[float, flo
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> ToxicityModel:
-    def cut(batches):
-        for batch in batches:
-            pieces = []
-            for text in column(batch, "text").to_pylist():
-                own = [w for w in windows(text) if len(w) <= MAX_WINDOW_BYTES]
-                if len(own) > MAX_WINDOWS:
-                    keep = np.argsort(mix(np.arange(len(own), dtype=np.uint64)))[:MAX_WINDOWS]
-                    own = [own[i] for i in np.sort(keep)]
-                pieces.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "label"), pa.array(pieces, pa.list_(pa.binary()))],
-                ["doc_id", "label", "windows"],
-            )
-
     def fit(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         order = np.argsort(mix(rows["doc_id"].to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
-        texts, labels = rows["windows"].to_pylist(), rows["label"].to_numpy()
+        texts, labels = [list(windows(t.as_py())) for t in rows["text"]], rows["label"].to_numpy()
         model = fit_windows([texts[i] for i in order], labels[order])
         return pa.table({
             "ordinary": pa.array([model.ordinary], pa.binary()), "toxic": pa.array([model.toxic], pa.binary()),
@@ -202,9 +186,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", m
     sample = usable.where("label = 1").orderBy(*order).limit(max_rows).unionByName(
         usable.where("label = 0").orderBy(*order).limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(
-        cut, "doc_id long, label int, windows array<binary>"
-    )
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = rows.withColumn("everything", F.lit(1)).groupBy("everything").applyInArrow(fit, "ordinary binary, toxic binary, curve array<double>").first()
     if found is None:
         return fit_windows([], np.zeros(0, int))

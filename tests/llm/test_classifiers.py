@@ -103,6 +103,26 @@ def test_ordinary_dictionary_knows_the_ends_of_texts():
     assert b"quillwort zymurgy" in model.ordinary
 
 
+@pytest.mark.parametrize("words, length", [(32, 200), (4_800, 3)])
+def test_toxicity_is_fitted_on_whole_texts(spark, make_docs, words, length):
+    """Long words, and marks in one of 300 windows only."""
+    from retailspark.llm.arrays import mix
+
+    draw = random.Random(6)
+    n = words // toxicity.WINDOW_WORDS
+    at = int(np.argsort(mix(np.arange(n, dtype=np.uint64)))[-1]) * toxicity.WINDOW_WORDS
+
+    def text(bad):
+        found = [draw.choice("abcdefgh") * length for _ in range(words)]
+        found[at + 3:at + 6] = ["grumbax", "velkropp", "snodwit"] if bad else found[at + 3:at + 6]
+        return " ".join(found)
+
+    docs = make_docs([(i, text(i % 2)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in scored)
+
+
 @pytest.mark.parametrize("operator", ["quality", "toxicity"])
 def test_defined_cases(spark, make_docs, with_clashes, operator):
     fit, score = ((quality.fit_quality, quality.score_quality) if operator == "quality"
