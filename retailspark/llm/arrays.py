@@ -45,11 +45,16 @@ def byte_groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int,
         yield start, end, offsets[start:end + 1] - offsets[start], data[offsets[start]:offsets[end]]
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all rows, and the first word of each row (with a last end)."""
+def word_spans(
+    offsets: np.ndarray, data: np.ndarray, outside: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows, and the first word of each row (with a last end).
+
+    ``outside`` tells which of the 256 bytes are in no word.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~outside[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     start, end = inside.copy(), inside.copy()
