@@ -1,8 +1,14 @@
-"""Re-ranking with category diversity and exploration, one small list per user."""
+"""Re-ranking with category diversity and exploration, one small list per user.
+
+Each choice depends on the ones before it, so a user's rows become one sorted array and the policy a fold over it:
+``aggregate`` with the rows still waiting, the rows chosen and what a choice looks back at as its state. All of it are
+column expressions; no rows leave the JVM.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +21,7 @@ EPSILON = 0.25
 EXPLORATION_RATIO = 0.2
 MAX_SLOTS = 2
 NEW_ITEM_DAYS = 7
-OUTPUT_SCHEMA = "customer_id string, product_id string, score double, reason string, is_exploration boolean, position int"
+ITEM = ("place", "article_id", "score", "is_new", "category", "reason", "is_exploration")
 
 
 def exploration_slots(n: Column, requested: Column | None = None) -> Column:
@@ -85,90 +91,111 @@ def reachable_rows(prepared: DataFrame, n: int) -> DataFrame:
     return kept.unionByName(new.select(*prepared.columns)).distinct()
 
 
-def _spread(order: list[int], category: list[str], n: int) -> list[int]:
-    """Take rows in order, but no third one in a row from a category while another is left."""
-    waiting, chosen = list(order), []
-    while waiting and len(chosen) < n:
-        tail = {category[i] for i in chosen[-MAX_RUN:]}
-        full = tail.pop() if len(chosen) >= MAX_RUN and len(tail) == 1 else None
-        at = next((p for p, i in enumerate(waiting) if category[i] != full), 0) if full is not None else 0
-        chosen.append(waiting.pop(at))
-    return chosen
-
-
-def _explore(rest: list[int], chosen: list[int], rows: dict, slots: int, epsilon: float, draws: list[float]) -> dict[int, str | None]:
-    """Rows for the exploration places, each with its new reason, or None to keep its own."""
-    score, popularity, ids, category = rows["score"], rows["popularity"], rows["article_id"], rows["category"]
-    used: dict[str, int] = {}
-    for i in chosen:
-        used[category[i]] = used.get(category[i], 0) + 1
-    picks: dict[int, str | None] = {}
-
-    def best(i: int) -> tuple:
-        return (-score[i], -popularity[i], ids[i])
-
-    for slot in range(slots):
-        open_rows = [i for i in rest if i not in picks]
-        if not open_rows:
-            break
-        if draws[slot] < epsilon:
-            new = [i for i in open_rows if rows["is_new"][i]]
-            if new:
-                pick, reason = min(new, key=best), "new_item_boost"
-            else:
-                pick, reason = min(open_rows, key=lambda i: (used.get(category[i], 0), *best(i))), "mab_exploration"
-        else:
-            pick, reason = min(open_rows, key=best), None
-        picks[pick] = reason
-        used[category[pick]] = used.get(category[pick], 0) + 1
-    return picks
-
-
-def _rerank_list(pdf: pd.DataFrame, n: int, requested: int | None, epsilon: float, guard_only: bool) -> pd.DataFrame:
-    rows = {name: pdf[name].tolist() for name in pdf.columns}
-    order = sorted(range(len(pdf)), key=lambda i: (-rows["score"][i], -rows["popularity"][i], rows["article_id"][i]))
-    size = min(n, len(order))
-    slots = int(rows["slots_by_size"][0][size]) if size and not guard_only else 0
-    if requested is not None and size > 2 and not guard_only:
-        slots = max(0, min(requested, MAX_SLOTS, size))
-    category = rows["category"]
-    primary = _spread(order, category, size - slots)
-    taken = set(primary)
-    picks = _explore([i for i in order if i not in taken], primary, rows, slots, epsilon, [rows["draw_0"][0], rows["draw_1"][0]])
-    third = min(max(size // 3, 1), size - 1)
-    places = [third] if len(picks) == 1 else sorted({third, min(max(size * 2 // 3, 2), size - 1)})
-    main, extra, merged = list(primary), list(picks), []
-    for place in range(size):
-        if extra and (place in places or not main):
-            merged.append(extra.pop(0))
-        elif main:
-            merged.append(main.pop(0))
-    final = _spread(merged, category, size)
-    return pd.DataFrame({
-        "customer_id": rows["customer_id"][:1] * len(final),
-        "product_id": [rows["article_id"][i] for i in final],
-        "score": [rows["score"][i] for i in final],
-        "reason": [picks.get(i) or rows["reason"][i] for i in final],
-        "is_exploration": [picks.get(i) is not None for i in final],
-        "position": range(1, len(final) + 1),
-    })
-
-
-def _per_user(scored: DataFrame, n: int, requested: int | None, epsilon: float, seed: int, guard_only: bool) -> DataFrame:
-    sizes = F.array(*[exploration_slots(F.lit(i)) for i in range(n + 1)])
-    ready = reachable_rows(prepare(scored), n).withColumns({
-        "draw_0": draw_fraction(seed, F.col("customer_id"), 0),
-        "draw_1": draw_fraction(seed, F.col("customer_id"), 1),
-        "slots_by_size": sizes,
-    })
-    return ready.groupBy("customer_id").applyInPandas(
-        lambda pdf: _rerank_list(pdf, n, requested, epsilon, guard_only), OUTPUT_SCHEMA
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _none_of(items: Column) -> Column:
+    """An empty array of the same rows."""
+    return F.slice(items, 1, 0)
+
+
+def _without(items: Column, row: Column) -> Column:
+    return F.filter(items, lambda r: r["place"] != row["place"])
+
+
+def spread(items: Column, n: Column) -> Column:
+    """Take n rows in order, but no third one in a row from a category while another is left: structs of waiting and chosen."""
+
+    def take(state: Column, _: Column) -> Column:
+        waiting = state["waiting"]
+        other = F.get(F.filter(waiting, lambda r: r["category"] != state["last"]), 0)
+        pick = F.when(state["run"] >= MAX_RUN, F.coalesce(other, F.get(waiting, 0))).otherwise(F.get(waiting, 0))
+
+        def chosen(row: Column) -> Column:
+            run = F.when(row["category"] == state["last"], state["run"] + 1).otherwise(1)
+            return F.struct(
+                _without(waiting, row).alias("waiting"), F.array_append(state["chosen"], row).alias("chosen"),
+                row["category"].alias("last"), run.alias("run"),
+            )
+
+        return F.when(F.size(waiting) == 0, state).otherwise(bound(pick, chosen))
+
+    start = F.struct(items.alias("waiting"), _none_of(items).alias("chosen"), F.lit("").alias("last"), F.lit(0).alias("run"))
+    return F.aggregate(F.array_repeat(F.lit(0), n), start, take)
+
+
+def explore_epsilon_greedy(rest: Column, chosen: Column, draws: Column, epsilon: float) -> Column:
+    """A row of ``rest`` per draw, in the order of the draws, marked if it explores.
+
+    A draw below epsilon takes the best new row, else the best of the category used least so far; any other draw the best.
+    """
+
+    def take(state: Column, draw: Column) -> Column:
+        waiting, explores = state["waiting"], draw < epsilon
+        new = F.get(F.filter(waiting, lambda r: r["is_new"]), 0)
+        rare = F.array_min(F.transform(waiting, lambda r: F.struct(
+            F.size(F.filter(state["used"], lambda u: u == r["category"])).alias("uses"), r.alias("row")
+        )))["row"]
+        pick = F.when(explores, F.coalesce(new, rare)).otherwise(F.get(waiting, 0))
+        why = F.when(explores, F.when(F.exists(waiting, lambda r: r["is_new"]), "new_item_boost").otherwise("mab_exploration"))
+
+        def chosen_row(row: Column) -> Column:
+            marked = {"reason": F.coalesce(why, row["reason"]), "is_exploration": explores}
+            shown = F.struct(*[marked.get(n, row[n]).alias(n) for n in ITEM])
+            return F.struct(
+                _without(waiting, row).alias("waiting"), F.array_append(state["used"], row["category"]).alias("used"),
+                F.array_append(state["picks"], shown).alias("picks"),
+            )
+
+        return F.when(F.size(waiting) == 0, state).otherwise(bound(pick, chosen_row))
+
+    start = F.struct(
+        rest.alias("waiting"), F.transform(chosen, lambda r: r["category"]).alias("used"), _none_of(rest).alias("picks")
+    )
+    return F.aggregate(draws, start, take)["picks"]
+
+
+def inject_exploration(main: Column, extra: Column, positions: Column, n: Column) -> Column:
+    """n rows: those of ``extra`` at the zero-based positions or when ``main`` is used up, else those of ``main``, both in order."""
+
+    def put(state: Column, at: Column) -> Column:
+        main_left, extra_left = state["from_main"] < F.size(main), state["from_extra"] < F.size(extra)
+        explores = extra_left & (F.array_contains(positions, at) | ~main_left)
+        row = F.when(explores, F.get(extra, state["from_extra"])).otherwise(F.get(main, state["from_main"]))
+        merged = F.when(main_left | extra_left, F.array_append(state["merged"], row)).otherwise(state["merged"])
+        return F.struct(
+            (state["from_main"] + (~explores).cast("int")).alias("from_main"),
+            (state["from_extra"] + explores.cast("int")).alias("from_extra"), merged.alias("merged"),
+        )
+
+    start = F.struct(F.lit(0).alias("from_main"), F.lit(0).alias("from_extra"), _none_of(main).alias("merged"))
+    return F.aggregate(F.transform(F.array_repeat(F.lit(0), n), lambda _, i: i), start, put)["merged"]
+
+
+def user_lists(scored: DataFrame, n: int) -> DataFrame:
+    """One row per user: the rows a list of n can contain, as a sorted array, and the length of the list."""
+    ready = reachable_rows(prepare(scored), n).withColumn(
+        "place", F.row_number().over(Window.partitionBy("customer_id").orderBy(*_order()))
+    ).withColumn("is_exploration", F.lit(False))
+    lists = ready.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct(*ITEM))).alias("items"))
+    return lists.withColumn("size", F.least(F.size("items"), F.lit(n)))
+
+
+def _rows(lists: DataFrame) -> DataFrame:
+    """The rows of each user's list with their position."""
+    flat = lists.select("customer_id", F.posexplode("list").alias("at", "row"))
+    return flat.select(
+        "customer_id", F.col("row.article_id").alias("product_id"), "row.score", "row.reason", "row.is_exploration",
+        (F.col("at") + 1).alias("position"),
     )
 
 
 def diversity_guard(scored: DataFrame, n: int) -> DataFrame:
     """Best rows first, without a third one in a row from one main category where possible."""
-    return _per_user(scored, n, None, 0.0, 0, guard_only=True).drop("reason", "is_exploration")
+    lists = user_lists(scored, n).select("customer_id", spread(F.col("items"), F.col("size"))["chosen"].alias("list"))
+    return _rows(lists).drop("reason", "is_exploration")
 
 
 def rerank(
@@ -178,4 +205,16 @@ def rerank(
 
     Exploration draws are hashes of seed, user and place, so that a run can be repeated.
     """
-    return _per_user(scored, n, requested_slots, epsilon, seed, guard_only=False)
+    size, slots = F.col("size"), F.col("slots")
+    requested = None if requested_slots is None else F.lit(requested_slots)
+    draws = F.array(*[draw_fraction(seed, F.col("customer_id"), slot) for slot in range(MAX_SLOTS)])
+    lists = user_lists(scored, n).withColumn("slots", exploration_slots(size, requested))
+    lists = lists.select("customer_id", "size", "slots", spread(F.col("items"), size - slots).alias("first"))
+    lists = lists.withColumn("main", F.col("first.chosen")).withColumn(
+        "extra", explore_epsilon_greedy(F.col("first.waiting"), F.col("first.chosen"), F.slice(draws, F.lit(1), slots), epsilon)
+    )
+    places = exploration_positions(size, F.size("extra"))
+    lists = lists.withColumn("positions", places).withColumn(
+        "merged", inject_exploration(F.col("main"), F.col("extra"), F.col("positions"), size)
+    )
+    return _rows(lists.select("customer_id", spread(F.col("merged"), size)["chosen"].alias("list")))
