@@ -142,6 +142,20 @@ def ordered_position(
     )
 
 
+def ordered_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], amount: str, name: str = "upto") -> DataFrame:
+    """Running sum of ``amount`` inside each key, the own row included, in ranges like ``ordered_position``."""
+    keys = list(keys)
+    cut = staged(df.repartitionByRange(*keys, *order).withColumn("pos_bucket", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("pos_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "pos_bucket").agg(F.sum(amount).alias("bucket_sum")).select(
+        *keys, "pos_bucket", F.coalesce(F.sum("bucket_sum").over(before), F.lit(0)).alias("bucket_start")
+    )
+    inside = Window.partitionBy(*keys, "pos_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("bucket_upto", F.sum(amount).over(inside)).join(starts, [*keys, "pos_bucket"]).withColumn(
+        name, F.col("bucket_start") + F.col("bucket_upto")
+    ).drop("pos_bucket", "bucket_upto", "bucket_start")
+
+
 RANGE_STEP = 4096
 
 
