@@ -66,34 +66,96 @@ def interest_points(sessions: DataFrame) -> DataFrame:
 
 
 def item_lists(catalog: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` articles of every category, main category and color as one array each."""
-    parts = [
-        rank_within(
-            catalog.select(
-                "article_id", F.col(kind).alias("value"), "popularity",
-                (F.col("normalized_popularity") + F.col("fresh_boost")).alias("base"),
-            ), "value", limit,
-        ).select(F.lit(kind).alias("kind"), "value", F.struct("article_id", "popularity", "base").alias("item"))
-        for kind in CLICK_WEIGHTS
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("kind", "value").agg(F.collect_list("item").alias("items"))
-
-
-def signal_scores(points: DataFrame, lists: DataFrame) -> DataFrame:
-    """Points per user and item from every list the user's signals name."""
-    named = lookup_join(points, lists, ["kind", "value"], "inner", hot_source=points)
-    return (
-        named.select("customer_id", "points", "recent", "session", F.explode("items").alias("item"))
-        .groupBy("customer_id", F.col("item.article_id").alias("article_id"))
-        .agg(
-            F.sum("points").alias("signal_score"),
-            (F.max("recent") == 1).alias("matches_recent_click_signal"),
-            (F.max("session") == 1).alias("matches_session_interest"),
-            F.max("item.popularity").alias("popularity"),
-            F.max("item.base").alias("base"),
-        )
+    """The first ``limit`` articles of every category, main category and color.
+
+    One row per kind and value: the articles as an array, their number, the lowest and the highest base score. An article
+    carries its values of all kinds and whether it is among the first of each, so that one list tells its whole score.
+    """
+    items = catalog.select(
+        "article_id", *CLICK_WEIGHTS, "popularity", (F.col("normalized_popularity") + F.col("fresh_boost")).alias("base")
+    )
+    listed = _union([
+        rank_within(items, kind, limit).drop("position").withColumn("listed", F.lit(kind)) for kind in CLICK_WEIGHTS
+    ])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.col(f"in_{k}").alias("is_listed")) for k in CLICK_WEIGHTS])
+    rows = listed.groupBy("article_id", *CLICK_WEIGHTS, "popularity", "base").agg(
+        *[F.bool_or(F.col("listed") == k).alias(f"in_{k}") for k in CLICK_WEIGHTS]
+    ).withColumn("k", F.explode(kinds)).where("k.is_listed")
+    item = F.struct("article_id", *CLICK_WEIGHTS, "popularity", "base", *[f"in_{k}" for k in CLICK_WEIGHTS])
+    return rows.select("k.kind", "k.value", item.alias("item")).groupBy("kind", "value").agg(
+        F.collect_list("item").alias("items"), F.count(F.lit(1)).alias("n"),
+        F.min("item.base").alias("low"), F.max("item.base").alias("top"),
+    )
+
+
+#: Sums of the same points in another order may differ in their last bits.
+SLACK = 1e-9
+
+
+def user_signals(points: DataFrame, lists: DataFrame, need: int | None) -> DataFrame:
+    """One row per user: a map per kind from value to points and list bounds, and a floor for the score of the ``need`` best items.
+
+    Lists of one kind share no article. Taken by falling worst score, those that first hold ``need`` articles show that so many
+    reach the worst score of the last of them: no lower score can be among the ``need`` best.
+    """
+    merged = points.groupBy("customer_id", "kind", "value").agg(
+        F.sum("points").alias("points"), F.max("recent").alias("recent"), F.max("session").alias("session")
+    )
+    known = lookup_join(merged, lists.drop("items"), ["kind", "value"], "inner", hot_source=points)
+    entry = F.struct("value", F.struct("points", "recent", "session", "n", "low", "top"))
+    maps = known.groupBy("customer_id").agg(
+        *[F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, entry))).alias(k) for k in CLICK_WEIGHTS]
+    )
+    if need is None:
+        return maps.withColumn("floor", F.lit(float("-inf")))
+
+    def reached(kind: str) -> Column:
+        bounds = F.transform(F.map_values(kind), lambda e: F.struct((e["points"] + e["low"]).alias("bound"), e["n"].alias("n")))
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("-inf")).alias("floor"))
+        return F.aggregate(F.reverse(F.array_sort(bounds)), start, lambda s, e: F.struct(
+            (s["n"] + e["n"]).alias("n"),
+            F.when((s["n"] < need) & (s["n"] + e["n"] >= need), e["bound"]).otherwise(s["floor"]).alias("floor"),
+        ))["floor"]
+
+    return maps.withColumn("floor", F.greatest(*[reached(k) for k in CLICK_WEIGHTS]) - SLACK)
+
+
+def signal_scores(points: DataFrame, lists: DataFrame, need: int | None = None) -> DataFrame:
+    """Points per user and item from every list the user's signals name; with ``need``, of items that can be among so many best.
+
+    An item comes from the first kind whose list names it for the user, and its points of all kinds are looked up in
+    the user's maps, so nothing is summed across rows. Lists that cannot reach the user's floor are not opened.
+    """
+    users = user_signals(points, lists, need)
+    kinds = list(CLICK_WEIGHTS)
+
+    def most(kind: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.map_values(kind), lambda e: e["points"])), F.lit(0.0))
+
+    def openings(at: int) -> Column:
+        # Items of earlier kinds come from there, so only later kinds can add points.
+        later = sum((most(k) for k in kinds[at + 1:]), F.lit(0.0))
+        entries = F.filter(F.map_entries(kinds[at]), lambda e: e["value"]["points"] + e["value"]["top"] + later >= F.col("floor"))
+        return F.transform(entries, lambda e: F.struct(F.lit(kinds[at]).alias("kind"), e["key"].alias("value")))
+
+    opened = users.select("*", F.explode(F.concat(*[openings(at) for at in range(len(kinds))])).alias("s")).select(
+        "customer_id", *kinds, "floor", "s.*"
+    )
+    items = lookup_join(opened, lists.select("kind", "value", "items"), ["kind", "value"], "inner", hot_source=points).select(
+        "customer_id", *kinds, "floor", "kind", F.explode("items").alias("item")
+    )
+    found = items.withColumns({
+        f"of_{k}": F.when(F.col(f"item.in_{k}"), F.try_element_at(F.col(k), F.col(f"item.{k}"))) for k in kinds
+    })
+    first = F.coalesce(*[F.when(F.col(f"of_{k}").isNotNull(), F.lit(k)) for k in kinds])
+    score = sum((F.coalesce(F.col(f"of_{k}.points"), F.lit(0.0)) for k in kinds[1:]), F.coalesce(F.col(f"of_{kinds[0]}.points"), F.lit(0.0)))
+    scored = found.where(F.col("kind") == first).select(
+        "customer_id", F.col("item.article_id").alias("article_id"), score.alias("signal_score"),
+        *[(F.greatest(*[F.coalesce(F.col(f"of_{k}.{flag}"), F.lit(0)) for k in kinds]) == 1).alias(name)
+          for flag, name in (("recent", "matches_recent_click_signal"), ("session", "matches_session_interest"))],
+        F.col("item.popularity").alias("popularity"), F.col("item.base").alias("base"), "floor",
     )
+    return scored.where(F.col("signal_score") + F.col("base") >= F.col("floor")).drop("floor")
 
 
 def _is_cold(clicks_n: Column, interest: Column) -> Column:
@@ -143,7 +205,7 @@ def generate_candidates(
 
     points = click_points(recent_signals(sessions, catalog)).unionByName(interest_points(sessions))
     lists = staged(item_lists(catalog, LOOKUP_FACTOR * pool), "item_lists")
-    signal = exclude_seen(signal_scores(points, lists), clicks)
+    signal = exclude_seen(signal_scores(points, lists, pool + max(max_clicks, 0)), clicks)
     best = Window.partitionBy("customer_id").orderBy(F.desc("candidate_score"), F.desc("popularity"), "article_id")
     # A user with a full pool needs no more than its best rows; the others keep all they have.
     scored = staged(
