@@ -41,7 +41,8 @@ def with_parts(sql: str) -> str:
 
     visit(sql, ())
     pieces = ", ".join(f"{name} AS ({PARTS[name]})" for name in ordered)
-    return f"WITH RECURSIVE {pieces} {sql}" if pieces else sql
+    recursive = "RECURSIVE " if any(name in _used(PARTS[name]) for name in ordered) else ""
+    return f"WITH {recursive}{pieces} {sql}" if pieces else sql
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-_tables: dict[tuple, DataFrame] = {}
+_tables: dict[tuple, DataFrame | str] = {}
 
 
 def shared(name: str, spark: SparkSession, folder: str, build: Query) -> DataFrame:
@@ -70,6 +71,14 @@ def shared(name: str, spark: SparkSession, folder: str, build: Query) -> DataFra
     return _tables[key]
 
 
+def shared_path(name: str, spark: SparkSession, folder: str, build: Callable[[SparkSession, str], str]) -> str:
+    """A folder of tables that some queries start from, written once per session."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _tables:
+        _tables[key] = build(spark, folder)
+    return _tables[key]
+
+
 def forget_shared() -> None:
     """Make the next queries compute their derived tables anew."""
     _tables.clear()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retailspark.functions import clean as c
-from retailspark.operators import features, joins, windows
+from retailspark.operators import features, joins, totals_state, windows
 from retailspark.plans import flows
-from retailspark.registry.core import part, query, shared
+from retailspark.plans.staging import stage_path, staged
+from retailspark.registry.core import part, query, shared, shared_path
 from retailspark.registry.tables import SPLIT, articles, customers, sql_date, sql_price, sql_season
 from retailspark.sources import shop, tables
 
@@ -110,6 +111,38 @@ def recency_windows_items(spark, d):
     return features.recency_windows(known(spark, d), "article_id", last_day(spark, d), spend=False)
 
 
+# The purchases arrive in three batches by date; the second one brings days the first has seen already.
+BATCH_ENDS = ("1997-03-31", "1999-11-15")
+
+
+def appended_totals(spark, d):
+    txn, kept_rows = shop.transactions_raw(spark, d), staged(known(spark, d), "known")
+    path = stage_path(txn, "totals")
+    late = F.col("sales_channel_id") == 1
+    number = F.when((F.col("t_dat") <= BATCH_ENDS[0]) & ~((F.col("t_dat") > "1996-06-01") & late), 1).when(
+        F.col("t_dat") <= BATCH_ENDS[1], 2
+    ).otherwise(3)
+    ends = {r["batch"]: r["d"] for r in txn.groupBy(number.alias("batch")).agg(F.max("t_dat").alias("d")).collect()}
+    for batch_id in (1, 2, 3):
+        rows = kept_rows.where(number == batch_id)
+        totals_state.append_purchases(spark, path, rows, batch_id, ends[batch_id])
+        totals_state.append_purchases(spark, path, rows, batch_id, ends[batch_id])  # a replay changes nothing
+    return path
+
+
+_WINDOW_LIST = ", ".join(f"purchase_count_{n}d, round(spend_{n}d, 9) AS spend_{n}d" for n in features.WINDOW_DAYS)
+
+
+@query("incremental_user_totals", f"SELECT customer_id, {_TOTAL_LIST}, {_WINDOW_LIST} FROM user_sums")
+def incremental_user_totals(spark, d):
+    return totals_state.kept_totals(spark, shared_path("appended_totals", spark, d, appended_totals), "customer_id")
+
+
+@query("incremental_item_totals", f"SELECT article_id, {_TOTAL_LIST}, {_WINDOW_LIST} FROM item_sums")
+def incremental_item_totals(spark, d):
+    return totals_state.kept_totals(spark, shared_path("appended_totals", spark, d, appended_totals), "article_id")
+
+
 def preferred_sql(key: str, column: str, order=None) -> str:
     place = f"list_position([{', '.join(repr(v) for v in order)}], {column})" if order else column
     return (f"SELECT {key}, {column} AS preferred_{column} FROM (SELECT {key}, {column}, row_number() OVER (PARTITION BY {key} "
@@ -310,10 +343,9 @@ def cold_start_bonus(spark, d):
 
 part("sequence_rows", """SELECT * FROM (SELECT customer_id, article_id, t_dat, row_no, lag(article_id) OVER (PARTITION BY customer_id ORDER BY t_dat, row_no, article_id) AS previous
   FROM transactions_raw) WHERE previous IS NULL OR previous <> article_id""")
-part("numbered_sequence", """SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t_dat DESC, row_no DESC, article_id DESC) AS from_end,
-  count(*) OVER (PARTITION BY customer_id) AS items FROM sequence_rows""")
-part("history_rows", """SELECT h.customer_id, h.article_id, h.t_dat, h.row_no, t.article_id AS target_article_id
-  FROM numbered_sequence h JOIN numbered_sequence t ON t.customer_id = h.customer_id AND t.from_end = 1 WHERE h.from_end > 1 AND h.items >= 2""")
+part("history_rows", """SELECT customer_id, article_id, t_dat, row_no, target_article_id FROM (SELECT *, row_number() OVER back AS from_end,
+  first_value(article_id) OVER back AS target_article_id FROM sequence_rows
+  WINDOW back AS (PARTITION BY customer_id ORDER BY t_dat DESC, row_no DESC, article_id DESC)) WHERE from_end > 1""")
 
 
 @query("purchase_sequence", "SELECT customer_id, article_id, CAST(t_dat AS STRING) AS t_dat, row_no FROM sequence_rows")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from retailspark.functions import clean as c
 from retailspark.operators import clean as clean_ops
+from retailspark.plans.staging import stage_path
 from retailspark.registry.core import part, query
 from retailspark.sources import shop, tables
 
@@ -299,9 +300,12 @@ def clean_articles(spark, d):
     return articles(spark, d)
 
 
-@query("customer_quality", f"""SELECT count(*) AS rows_read, count(*) FILTER (trim(customer_id) <> '') AS rows_written,
+CUSTOMER_QUALITY_SQL = f"""SELECT count(*) AS rows_read, count(*) FILTER (trim(customer_id) <> '') AS rows_written,
        count(*) FILTER (trim(customer_id) = '') AS blank_ids,
-       count(*) FILTER (trim(customer_id) <> '' AND {sql_age('age')} < 0) AS unknown_ages FROM customers_raw""")
+       count(*) FILTER (trim(customer_id) <> '' AND {sql_age('age')} < 0) AS unknown_ages FROM customers_raw"""
+
+
+@query("customer_quality", CUSTOMER_QUALITY_SQL)
 def customer_quality(spark, d):
     return clean_ops.customer_quality(shop.customers_raw(spark, d))
 
@@ -310,9 +314,12 @@ def _unknown(fields, name):
     return f"count(*) FILTER (trim(article_id) <> '' AND {sql_first_known(*fields)} = 'UNKNOWN') AS {name}"
 
 
-@query("article_quality", f"""SELECT count(*) AS rows_read, count(*) FILTER (trim(article_id) <> '') AS rows_written,
+ARTICLE_QUALITY_SQL = f"""SELECT count(*) AS rows_read, count(*) FILTER (trim(article_id) <> '') AS rows_written,
        count(*) FILTER (trim(article_id) = '') AS blank_ids, {_unknown(c.CATEGORY_FIELDS, 'unknown_categories')},
-       {_unknown(c.MAIN_CATEGORY_FIELDS, 'unknown_main_categories')}, {_unknown(c.COLOR_FIELDS, 'unknown_colors')} FROM articles_raw""")
+       {_unknown(c.MAIN_CATEGORY_FIELDS, 'unknown_main_categories')}, {_unknown(c.COLOR_FIELDS, 'unknown_colors')} FROM articles_raw"""
+
+
+@query("article_quality", ARTICLE_QUALITY_SQL)
 def article_quality(spark, d):
     return clean_ops.article_quality(shop.articles_raw(spark, d))
 
@@ -322,3 +329,41 @@ def article_quality(spark, d):
        count(*) FILTER (trim(article_id) <> '' AND {sql_date('t_dat')} IS NOT NULL) AS rows_aggregated FROM transactions_text""")
 def transaction_quality(spark, d):
     return clean_ops.transaction_quality(shop.transactions_text(spark, d))
+
+
+def _observed(spark, d, raw, clean, counters, name):
+    """Counters of the scan that also writes the cleaned table."""
+    return clean_ops.write_counted(raw, clean, counters, stage_path(raw, f"clean_{name}"), name)
+
+
+@query("observed_customer_quality", CUSTOMER_QUALITY_SQL)
+def observed_customer_quality(spark, d):
+    return _observed(spark, d, shop.customers_raw(spark, d), clean_ops.clean_customers, clean_ops.customer_counters(), "customers")
+
+
+@query("observed_article_quality", ARTICLE_QUALITY_SQL)
+def observed_article_quality(spark, d):
+    return _observed(spark, d, shop.articles_raw(spark, d), clean_ops.clean_articles, clean_ops.article_counters(), "articles")
+
+
+# Estimates come from the stored sketches; the exact numbers stand beside them only to be compared.
+@query("sketch_profile", """SELECT year(t_dat) * 100 + month(t_dat) AS month, count(*) AS total_rows, min(t_dat)::STRING AS min_date, max(t_dat)::STRING AS max_date,
+  count(DISTINCT customer_id) AS exact_customers, count(DISTINCT article_id) AS exact_articles, true AS customers_within_2_percent, true AS articles_within_2_percent
+  FROM transactions_raw GROUP BY 1""")
+def sketch_profile(spark, d):
+    txn = shop.transactions_raw(spark, d)
+    path = stage_path(txn, "daily_sketches")
+    tables.write_daily_sketches(txn, path)
+    by_month = tables.profile_of_sketches(spark.read.parquet(path), "month")
+    exact = txn.groupBy(tables.month_number("t_dat").alias("month")).agg(
+        F.count_distinct("customer_id").alias("exact_customers"), F.count_distinct("article_id").alias("exact_articles")
+    )
+
+    def near(estimate, number):
+        return F.abs(F.col(estimate) - F.col(number)) <= 0.02 * F.col(number)
+
+    return by_month.join(exact, "month").select(
+        "month", "total_rows", "min_date", "max_date", "exact_customers", "exact_articles",
+        near("unique_customers", "exact_customers").alias("customers_within_2_percent"),
+        near("unique_articles", "exact_articles").alias("articles_within_2_percent"),
+    )
