@@ -106,21 +106,31 @@ def ranking_summary(scored: DataFrame, truth: DataFrame, users: DataFrame, k: in
     )
 
 
-def list_summary(ranked: DataFrame, truth: DataFrame, users: DataFrame, item_count: Column, k: int) -> DataFrame:
-    means = metrics.mean_scores(metrics.user_scores(ranked, truth, users, k))
-    covered = metrics.coverage_at_k(ranked.join(users, "customer_id", "left_semi"), item_count, k).scalar()
-    return means.select("users_evaluated", "hit_rate", "ndcg", covered.alias("coverage"))
-
-
 def evaluate_lists(
     ranked: DataFrame, truth: DataFrame, users: DataFrame, customers: DataFrame, item_count: Column, k: int
 ) -> DataFrame:
-    """Hit rate, nDCG and coverage for all users and for those without a customer row."""
-    cold = cold_start_users(users, customers)
-    everyone = list_summary(ranked, truth, users, item_count, k).withColumn("subset", F.lit("all"))
-    return everyone.unionByName(
-        list_summary(ranked, truth, cold, item_count, k).withColumn("subset", F.lit("cold_start"))
+    """Hit rate, nDCG and coverage for all users and for those without a customer row, from one scoring of the lists."""
+    cold = cold_start_users(users, customers).withColumn("is_cold", F.lit(True))
+    flagged = users.select("customer_id").join(cold, "customer_id", "left").withColumn(
+        "is_cold", F.coalesce("is_cold", F.lit(False))
     )
+    scores = metrics.user_scores(ranked, truth, users, k).join(flagged, "customer_id")
+    shown = ranked.where(F.col("position") <= k).join(flagged, "customer_id").groupBy("article_id").agg(
+        F.bool_or("is_cold").alias("is_cold")
+    )
+    subsets = {"all": F.lit(True), "cold_start": F.col("is_cold")}
+    means = scores.agg(*[
+        x.alias(f"{name}_{subset}") for subset, kept in subsets.items() for name, x in (
+            ("users", F.count_if(kept)), *((n, F.coalesce(F.avg(F.when(kept, F.col(n))), F.lit(0.0))) for n in ("hit_rate", "ndcg"))
+        )
+    ])
+    covered = shown.agg(*[F.count_if(kept).alias(f"items_{subset}") for subset, kept in subsets.items()])
+    both = means.withColumn("one", F.lit(1)).join(covered.withColumn("one", F.lit(1)), "one")
+    rows = F.array(*[F.struct(
+        F.col(f"users_{s}").alias("users_evaluated"), F.col(f"hit_rate_{s}").alias("hit_rate"), F.col(f"ndcg_{s}").alias("ndcg"),
+        F.when(item_count > 0, F.col(f"items_{s}") / item_count).otherwise(0.0).alias("coverage"), F.lit(s).alias("subset"),
+    ) for s in subsets])
+    return both.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def evaluate_popularity(rows: DataFrame, truth: DataFrame, users: DataFrame, customers: DataFrame,

@@ -169,6 +169,13 @@ def sample_hard_negatives(
     return hard.withColumn("is_hard", F.lit(True)).unionByName(rest.withColumn("is_hard", F.lit(False)))
 
 
+def labelled_pairs(pairs: DataFrame, articles: DataFrame, ratio: int = 1, seed: int = 42) -> DataFrame:
+    """The pairs as positives, and their sampled negatives: customer, article and label."""
+    columns = ("customer_id", "article_id")
+    positives = pairs.select(*columns, F.lit(1).alias("label"))
+    return positives.unionByName(sample_negatives(pairs, articles, ratio, seed).select(*columns, F.lit(0).alias("label")))
+
+
 def ranking_train(
     txn: DataFrame, customers: DataFrame, articles: DataFrame, ratio: int = 1, seed: int = 42
 ) -> DataFrame:

@@ -8,9 +8,10 @@ from retailspark.functions import clean as c
 from retailspark.functions import metrics as list_metrics
 from retailspark.operators import candidates as cand
 from retailspark.operators import evaluation, features, joins, metrics, sampling, windows
+from retailspark.plans.skew import lookup_join
 from retailspark.plans.staging import staged
 from retailspark.registry.core import part, query, shared
-from retailspark.registry.features import catalog, history
+from retailspark.registry.features import catalog, history, known
 from retailspark.registry.sampling import SEED, train
 from retailspark.registry.tables import articles, customers
 from retailspark.sources import reports, shop
@@ -291,9 +292,20 @@ _POPULARITY = f"""SELECT 'all' AS subset, {_means(('hit_rate', 'ndcg'))}, {_COVE
 
 
 def popularity_result(spark, d):
-    rows, truth, users = enriched_rows(spark, d)
+    """Only pairs, labels and popularity: none of the training columns are needed to rank by popularity."""
+    pairs = sampling.distinct_pairs(known(spark, d)).select("customer_id", "article_id")
+    pairs = staged(pairs, "pairs")
+    own = sampling.labelled_pairs(pairs, articles(spark, d), 1, SEED)
+    counts = features.item_features(shop.transactions_text(spark, d)).select("article_id", "popularity")
+    rows = staged(
+        lookup_join(own, counts, "article_id", "left", hot_source=pairs).withColumn(
+            "popularity", F.coalesce(F.col("popularity").cast("double"), F.lit(0.0))
+        ),
+        "popularity_rows",
+    )
+    truth = pairs
     total = rows.agg(F.count_distinct("article_id").alias("n")).scalar()
-    return evaluation.evaluate_popularity(rows, truth, users, customers(spark, d), total, K)
+    return evaluation.evaluate_popularity(rows, truth, truth.select("customer_id").distinct(), customers(spark, d), total, K)
 
 
 @query("evaluate_popularity", _POPULARITY)
