@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from retailspark.functions import vectors
-from retailspark.operators import abtest, evaluation, joins, ranking, rerank, retrieval, retrieval_train, sampling
+from retailspark.operators import abtest, evaluation, feature_factors, joins, ranking, rerank, retrieval, retrieval_train, sampling
 from retailspark.operators import candidates as cand
 from retailspark.operators import features
 from retailspark.plans import flows
@@ -102,7 +102,19 @@ def top_k_similar(spark, d):
 
 @query("top_k_similar_approx")
 def top_k_similar_approx(spark, d):
-    return retrieval.top_k_similar_approx(queries_of(spark, d), items(spark, d), 10, cells=16, probes=6, dim=DIM)
+    return retrieval.top_k_similar_approx(queries_of(spark, d), items(spark, d), 10, cells=16, probes=12, dim=DIM)
+
+
+@query("approx_recall", "SELECT count(*) AS queries, sum(least(10, (SELECT count(*) FROM unit_items)))::BIGINT AS exact_hits, true AS recall_at_least_0_9 FROM unit_items")
+def approx_recall(spark, d):
+    """Share of the exact hits that the search of the nearest cells finds."""
+    keys = ["query_id", "item_id"]
+    exact = staged(top_k_similar(spark, d).select(*keys), "exact_hits")
+    found = top_k_similar_approx(spark, d).select(*keys).withColumn("found", F.lit(1))
+    return exact.join(found, keys, "left").agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("exact_hits"),
+        (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_at_least_0_9"),
+    )
 
 
 @query("top_k_similar_all_cells", "SELECT * FROM best_hits")
@@ -258,14 +270,71 @@ def exploration_slots(spark, d):
     )
 
 
-@query("diversity_guard")
+# The policy step by step: a row per user and step, the user's rows in lists.
+def _guard_sql(name: str, source: str) -> None:
+    """No third row in a row from one category while another waits; ``source`` has customer_id, goal, items."""
+    part(f"{name}_steps", f"""SELECT customer_id, 0 AS step, goal, items AS waiting, items[1:0] AS chosen FROM {source}
+      UNION ALL SELECT customer_id, step + 1, goal, list_filter(waiting, lambda r: r.place <> p.place), list_append(chosen, p)
+      FROM (SELECT *, coalesce(list_filter(waiting, lambda r: len(chosen) < 2 OR chosen[-1].category <> chosen[-2].category OR r.category <> chosen[-1].category)[1], waiting[1]) AS p
+        FROM {name}_steps WHERE step < goal)""")
+    part(name, f"SELECT customer_id, waiting, chosen FROM {name}_steps WHERE step = goal")
+
+
+def _rerank_sql(name: str, rows: str, n: int) -> None:
+    """``rows`` has customer_id, article_id, score, popularity, is_new, category, reason."""
+    p = name
+    part(f"{p}_items", f"""SELECT customer_id, list({{'place': place, 'article_id': article_id, 'score': score, 'is_new': is_new, 'category': category, 'reason': reason, 'explores': false}} ORDER BY place) AS items,
+      least({n}, count(*))::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, popularity DESC, article_id) AS place FROM {rows}) GROUP BY 1""")
+    part(f"{p}_whole", f"SELECT customer_id, size AS goal, items FROM {p}_items")
+    _guard_sql(f"{p}_guarded", f"{p}_whole")
+    part(f"{p}_sized", f"SELECT *, CASE WHEN size <= 2 THEN 0 ELSE least(greatest(1, CAST(round_even(size * 0.2, 0) AS INT)), 2) END AS slots FROM {p}_items")
+    part(f"{p}_goals", f"SELECT customer_id, size - slots AS goal, items FROM {p}_sized")
+    _guard_sql(f"{p}_first", f"{p}_goals")
+    part(f"{p}_picked", f"""SELECT customer_id, size, slots, 0 AS slot, waiting, chosen, list_transform(chosen, lambda r: r.category) AS used, items[1:0] AS picks
+      FROM {p}_first JOIN {p}_sized USING (customer_id)
+      UNION ALL SELECT customer_id, size, slots, slot + 1, list_filter(waiting, lambda r: r.place <> x.place), chosen, list_append(used, x.category),
+        list_append(picks, struct_pack(place := x.place, article_id := x.article_id, score := x.score, is_new := x.is_new, category := x.category,
+          reason := CASE WHEN NOT explores THEN x.reason WHEN x.is_new AND new_row IS NOT NULL THEN 'new_item_boost' ELSE 'mab_exploration' END, explores := explores))
+      FROM (SELECT *, CASE WHEN explores THEN coalesce(new_row, list_sort(list_transform(waiting, lambda r: struct_pack(uses := len(list_filter(used, lambda u: u = r.category)), item := r)))[1].item)
+          ELSE waiting[1] END AS x
+        FROM (SELECT *, list_filter(waiting, lambda r: r.is_new)[1] AS new_row, {sql_draw("'42'", 'customer_id', 'slot')} / {16.0 ** 15} < {rerank.EPSILON} AS explores
+          FROM {p}_picked WHERE slot < slots AND len(waiting) > 0))""")
+    part(f"{p}_explored", f"""SELECT customer_id, size, chosen AS main, picks AS extra, CASE len(picks) WHEN 0 THEN [] WHEN 1 THEN [least(greatest(size // 3, 1), size - 1)]
+      ELSE [least(greatest(size // 3, 1), size - 1), least(greatest(size * 2 // 3, 2), size - 1)] END AS places FROM {p}_picked WHERE slot = slots OR len(waiting) = 0""")
+    part(f"{p}_merging", f"""SELECT customer_id, size, main, extra, places, 0 AS i, 0 AS m, 0 AS e, main[1:0] AS merged FROM {p}_explored
+      UNION ALL SELECT customer_id, size, main, extra, places, i + 1, m + CASE WHEN side THEN 0 ELSE 1 END, e + CASE WHEN side THEN 1 ELSE 0 END, list_append(merged, CASE WHEN side THEN extra[e + 1] ELSE main[m + 1] END)
+      FROM (SELECT *, e < len(extra) AND (list_contains(places, i) OR m >= len(main)) AS side FROM {p}_merging WHERE i < size)""")
+    part(f"{p}_merged", f"SELECT customer_id, size AS goal, merged AS items FROM {p}_merging WHERE i = size")
+    _guard_sql(f"{p}_final", f"{p}_merged")
+
+
+def _list_sql(name: str, columns: str) -> str:
+    return f"SELECT customer_id, {columns} FROM (SELECT customer_id, unnest(chosen) AS r, generate_subscripts(chosen, 1) AS position FROM {name})"
+
+
+_SHOWN = "r.article_id AS product_id, round(r.score, 9)::DOUBLE AS score, r.reason AS reason, r.explores AS is_exploration, position::INT AS position"
+_CATEGORY = "coalesce(nullif(trim(main_category), ''), nullif(trim(category), ''), 'UNKNOWN') AS category"
+_BY_POPULARITY = "(popularity / greatest(max(popularity) OVER (PARTITION BY customer_id), 1.0))::DOUBLE AS score, popularity"
+_IS_NEW = f"coalesce(is_new_item, false) OR coalesce(item_age_days <= {rerank.NEW_ITEM_DAYS}, false) AS is_new"
+part("popularity_scored", f"SELECT customer_id, article_id, {_BY_POPULARITY}, {_IS_NEW}, {_CATEGORY}, 'cold_start_popularity' AS reason FROM eval_rows")
+part("served_rows", f"SELECT customer_id, article_id, {_BY_POPULARITY}, {_IS_NEW}, {_CATEGORY}, candidate_reason AS reason FROM (SELECT s.* EXCLUDE (popularity), k.* EXCLUDE (article_id) FROM (SELECT *, 0 AS popularity FROM session_candidates) s JOIN catalog k USING (article_id))")
+_rerank_sql("shown", "popularity_scored", 10)
+_rerank_sql("served", "served_rows", 10)
+
+
+def popularity_scored(spark, d):
+    """Evaluation rows scored by popularity, which SQL can repeat."""
+    return ranking.popularity_fallback(enriched_rows(spark, d)[0].withColumn("candidate_reason", F.lit(None).cast("string")))
+
+
+@query("diversity_guard", _list_sql("shown_guarded", "r.article_id AS product_id, round(r.score, 9)::DOUBLE AS score, position::INT AS position"))
 def diversity_guard(spark, d):
-    return rerank.diversity_guard(scored_rows(spark, d)[0], 10)
+    return rerank.diversity_guard(popularity_scored(spark, d), 10)
 
 
-@query("rerank")
+@query("rerank", _list_sql("shown_final", _SHOWN))
 def rerank_lists(spark, d):
-    return rerank.rerank(scored_rows(spark, d)[0], 10)
+    return rerank.rerank(popularity_scored(spark, d), 10)
 
 
 @query("recommend_all")
@@ -276,7 +345,7 @@ def recommend_all(spark, d):
     )
 
 
-@query("recommend_all_without_model")
+@query("recommend_all_without_model", _list_sql("served_final", _SHOWN))
 def recommend_all_without_model(spark, d):
     return flows.recommend_all(
         sessions(spark, d), catalog(spark, d), customers(spark, d), None, 10, max_clicks=session_state.RECENT_CLICKS
@@ -382,6 +451,33 @@ def validation_recall(spark, d):
     return retrieval_train.validation_recall(users, vectors_, own.where("NOT held"), own.where("held"), 300)
 
 
+# Vectors from features, for users that training has not seen.
+FEATURES = feature_factors.Features(
+    ("age_bucket", "fashion_news_frequency", "club_member_status"), ("article_id", "category", "main_category", "color")
+)
+
+
+@query("unseen_user_recall", f"""SELECT (SELECT count(DISTINCT customer_id) FROM train_rows WHERE label = 1 AND {HOLDOUT} = 'validation') AS users_evaluated,
+  true AS every_user_has_a_vector, true AS not_below_popularity""")
+def unseen_user_recall(spark, d):
+    sides = staged(sampling.user_holdout(train(spark, d), 0.2, SEED, check=False), "factor_sides")
+    known, unseen = sides.where("side = 'train'"), sides.where("side = 'validation' AND label = 1")
+    factors = feature_factors.fit_feature_factors(known, FEATURES)
+    users = feature_factors.user_vectors(customers(spark, d), FEATURES, factors)
+    found = feature_factors.unseen_user_recall(
+        users, feature_factors.item_vectors(articles(spark, d), FEATURES, factors), unseen, 300
+    )
+    popular = feature_factors.popularity_recall(known.where("label = 1"), unseen, 300)
+    both = found.withColumn("one", F.lit(1)).join(
+        popular.select(F.lit(1).alias("one"), F.col("users_evaluated").alias("asked"), F.col("recall").alias("popularity_recall")), "one"
+    )
+    # Purchases of the tables do not depend on features, so no ranking beats popularity here by more than chance.
+    return both.select(
+        "users_evaluated", (F.col("users_evaluated") == F.col("asked")).alias("every_user_has_a_vector"),
+        (F.col("recall") >= 0.95 * F.col("popularity_recall")).alias("not_below_popularity"),
+    )
+
+
 @query("retrieval_lift")
 def retrieval_lift(spark, d):
     rows, truth, users = rows_with_truth(spark, d)
@@ -444,6 +540,43 @@ def bootstrap_ci(spark, d):
     return abtest.bootstrap_ci(shop.ab_long(spark, d), 0.95, REPLICATES, SEED, method="rows")
 
 
+# Drawn counts against the closed forms of the mean and the variance of a resampled or shuffled difference.
+MOMENT_REPLICATES = 2000
+part("ab_moments", """SELECT avg(value) FILTER (grp = 'treatment') - avg(value) FILTER (grp = 'control') AS diff,
+  var_pop(value) FILTER (grp = 'treatment') / count(*) FILTER (grp = 'treatment') + var_pop(value) FILTER (grp = 'control') / count(*) FILTER (grp = 'control') AS boot_var,
+  var_samp(value) * (1 / count(*) FILTER (grp = 'treatment') + 1 / count(*) FILTER (grp = 'control')) AS perm_var FROM ab""")
+
+
+def _moments(ab, diffs, closed):
+    """Closed mean and standard deviation, and whether those of the replicates are near: four standard errors, 15 %."""
+    seen = diffs.agg(F.avg("diff").alias("mean"), F.stddev("diff").alias("sd"), F.count(F.lit(1)).alias("replicates"))
+    both = ab.agg(*closed).withColumn("one", F.lit(1)).join(seen.withColumn("one", F.lit(1)), "one")
+    return both.select(
+        "replicates", "closed_mean", "closed_sd",
+        (F.abs(F.col("mean") - F.col("closed_mean")) <= 4 * F.col("closed_sd") / F.sqrt("replicates")).alias("mean_is_near"),
+        (F.abs(F.col("sd") / F.col("closed_sd") - 1) <= 0.15).alias("sd_is_near"),
+    )
+
+
+def _in(group, what):
+    return what(F.when(F.col("group") == group, F.col("value")))
+
+
+@query("bootstrap_counts_moments", f"SELECT {MOMENT_REPLICATES} AS replicates, round(diff, 9) AS closed_mean, round(sqrt(boot_var), 9) AS closed_sd, true AS mean_is_near, true AS sd_is_near FROM ab_moments")
+def bootstrap_counts_moments(spark, d):
+    ab = staged(shop.ab_long(spark, d), "ab")
+    spread = sum(_in(g, F.var_pop) / _in(g, F.count) for g in abtest.GROUPS)
+    mean = _in("treatment", F.avg) - _in("control", F.avg)
+    return _moments(ab, abtest.bootstrap_diffs(ab, MOMENT_REPLICATES, SEED), [mean.alias("closed_mean"), F.sqrt(spread).alias("closed_sd")])
+
+
+@query("permutation_counts_moments", f"SELECT {MOMENT_REPLICATES} AS replicates, 0.0::DOUBLE AS closed_mean, round(sqrt(perm_var), 9) AS closed_sd, true AS mean_is_near, true AS sd_is_near FROM ab_moments")
+def permutation_counts_moments(spark, d):
+    ab = staged(shop.ab_long(spark, d), "ab")
+    spread = F.var_samp("value") * sum(1 / _in(g, F.count) for g in abtest.GROUPS)
+    return _moments(ab, abtest.permutation_diffs(ab, MOMENT_REPLICATES, SEED), [F.lit(0.0).alias("closed_mean"), F.sqrt(spread).alias("closed_sd")])
+
+
 part("perm_rows", "SELECT value, row_number() OVER (ORDER BY grp, value) AS row_no FROM ab")
 part("perm_places", f"""SELECT replicate, value, row_number() OVER (PARTITION BY replicate ORDER BY {sql_draw("'42'", 'replicate', 'row_no')}, row_no) <= (SELECT count(*) FROM ab WHERE grp = 'control') AS in_control
   FROM perm_rows CROSS JOIN range({REPLICATES}) r(replicate)""")
@@ -477,47 +610,93 @@ def compare_group_means_by_counts(spark, d):
 
 
 # --- streams -------------------------------------------------------------------------
+def write_lines(rows, path):
+    """Events as JSON lines, as a gateway would leave them."""
+    stamped = rows.withColumn("arrival", F.date_format("arrival", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    stamped.select(F.to_json(F.struct(*stamped.columns)).alias("value")).write.mode("append").text(path)
+
+
 def event_lines(spark, d):
-    """Events as JSON lines in the shared folder, as a gateway would leave them."""
     events = shop.interaction_events(spark, d)
     path = stage_path(events, "event_lines")
-    stamped = events.withColumn("arrival", F.date_format("arrival", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    stamped.select(F.to_json(F.struct(*stamped.columns)).alias("value")).write.text(path)
+    write_lines(events, path)
     return path
 
 
+def weekly_lines(spark, d):
+    """The same, a file folder per calendar week, written in the order of the weeks."""
+    events = staged(shop.interaction_events(spark, d).withColumn("week", F.to_date(F.date_trunc("week", "arrival"))), "weekly_events")
+    path = stage_path(events, "weekly_lines")
+    for row in events.select("week").distinct().orderBy("week").toLocalIterator():
+        write_lines(events.where(F.col("week") == row["week"]).drop("week"), f"{path}/week={row['week']}")
+        yield f"{path}/week={row['week']}"
+
+
 def _run_folder(spark, name):
     return f"{shared_folder(spark)}/retailspark/{name}-{uuid.uuid4().hex}"
 
 
-@query("read_events_stream", "SELECT user_id, item_id, event_type, category, event_id FROM interaction_events")
+@query("read_events_stream", """SELECT user_id, item_id, event_type, category, event_id FROM interaction_events WHERE item_id IS NOT NULL""")
 def read_events_stream(spark, d):
     folder = _run_folder(spark, "events")
     session_state.run_to_table(session_state.read_events(spark, event_lines(spark, d)), folder, f"{folder}-progress", "append")
     return spark.read.parquet(f"{folder}/batch=*").select("user_id", "item_id", "event_type", "category", "event_id")
 
 
-# Lifetimes run on the clock, so a replay of the whole history at once lets nothing expire.
-part("replay_clicks", """SELECT user_id, string_agg(item_id, ',' ORDER BY place) FILTER (place <= 20) AS recent_clicks, count(*) AS click_count
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival DESC, event_id DESC) AS place FROM click_events) GROUP BY 1""")
-part("replay_interest", """SELECT user_id, string_agg(concat(category, '=', n), ',' ORDER BY category) AS interest
-  FROM (SELECT user_id, category, count(*) AS n FROM named_events GROUP BY 1, 2) GROUP BY 1""")
+# Lines that a gateway must refuse: each kind of event is damaged in its own way.
+_BROKEN = "category < 'M'"
+
+
+def damaged_lines(spark, d):
+    events = shop.interaction_events(spark, d)
+    text = F.date_format("arrival", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    broken = F.col("category") < "M"
+    kind = F.when(broken, F.col("event_type")).otherwise("")
+    named = {
+        "item_id": F.col("item_id"), "event_type": F.when(kind != "signup", F.col("event_type")), "category": F.col("category"),
+        "arrival": F.when(kind == "view", "soon").otherwise(text), "event_id": F.col("event_id"),
+    }
+    rest = [c.alias(n) for n, c in named.items()]
+    line = F.when(kind == "purchase", F.to_json(F.struct(F.col("user_id").cast("long").alias("user_id"), *rest))).otherwise(
+        F.to_json(F.struct("user_id", *rest))
+    )
+    path = stage_path(events, "damaged_lines")
+    events.select(F.when(kind == "error", F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(path)
+    return path
 
 
-@query("session_state_stream", """SELECT user_id, coalesce(recent_clicks, '') AS recent_clicks, coalesce(interest, '') AS session_interest, coalesce(click_count, 0) AS click_count
-  FROM (SELECT DISTINCT user_id FROM interaction_events) LEFT JOIN replay_clicks USING (user_id) LEFT JOIN replay_interest USING (user_id)""")
+@query("event_routing", f"""SELECT coalesce(reason, 'event') AS outcome, count(*) AS n FROM (SELECT CASE WHEN {_BROKEN} AND event_type = 'error' THEN 'not json'
+  WHEN {_BROKEN} AND event_type = 'purchase' THEN 'user_id is not text' WHEN item_id IS NULL THEN 'missing item_id'
+  WHEN {_BROKEN} AND event_type = 'signup' THEN 'missing event_type' WHEN {_BROKEN} AND event_type = 'view' THEN 'arrival is no time' END AS reason
+  FROM interaction_events) GROUP BY 1""")
+def event_routing(spark, d):
+    folder = _run_folder(spark, "routing")
+    session_state.run_event_routing(session_state.read_lines(spark, damaged_lines(spark, d)), folder, f"{folder}-progress")
+    good = session_state.routed(spark, folder, "events").select(F.lit("event").alias("outcome"))
+    bad = session_state.routed(spark, folder, "rejected").select(F.col("reason").alias("outcome"))
+    return good.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The stream sees the weeks one after the other; lists and counts end seven days of event time after their last event.
+@query("session_state_stream", "SELECT * FROM session_rows")
 def session_state_stream(spark, d):
     folder = _run_folder(spark, "state")
-    stream = session_state.session_state(session_state.read_events(spark, event_lines(spark, d)))
-    session_state.run_to_table(stream, folder, f"{folder}-progress")
-    return session_state.latest_state(spark, folder).select(
-        "user_id", "recent_clicks", interest_text(), "click_count"
-    )
+    for week in weekly_lines(spark, d):
+        stream = session_state.session_state(session_state.read_events(spark, week.rsplit("/", 1)[0] + "/week=*"))
+        session_state.run_to_table(stream, folder, f"{folder}-progress")
+    return session_state.latest_state(spark, folder).select("user_id", "recent_clicks", interest_text(), "click_count")
 
 
-@query("retrain_watch_stream", """SELECT 0 AS batch_id, n AS new_events, n AS event_count, 'v1' AS old_version, 'v2' AS new_version
-  FROM (SELECT count(*) AS n FROM interaction_events) WHERE n >= 1000""")
+# Few events are enough for a signal here, so that many checks fire.
+@query("retrain_watch_stream", """SELECT 'ranker' AS model, row_number() OVER (ORDER BY week)::BIGINT AS signal, n AS new_events, sum(n) OVER (ORDER BY week)::BIGINT AS event_count,
+  concat('v', row_number() OVER (ORDER BY week)) AS old_version, concat('v', row_number() OVER (ORDER BY week) + 1) AS new_version
+  FROM (SELECT date_trunc('week', arrival) AS week, count(*) AS n FROM interaction_events GROUP BY 1)""")
 def retrain_watch_stream(spark, d):
     folder = _run_folder(spark, "retrain")
-    monitor.run_retrain_watch(session_state.read_events(spark, event_lines(spark, d)), folder, f"{folder}-progress", 1000)
-    return spark.read.parquet(folder)
+    for week in weekly_lines(spark, d):
+        watch = monitor.retrain_watch(session_state.read_events(spark, week.rsplit("/", 1)[0] + "/week=*"), 1)
+        session_state.run_to_table(watch, folder, f"{folder}-progress")
+    rows = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+    return rows.select(
+        "model", F.substring("old_version", 2, 10).cast("long").alias("signal"), "new_events", "event_count", "old_version", "new_version"
+    )
