@@ -48,7 +48,7 @@ NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 WAVE_TERMS, BUNDLE = 1 << 20, 256
 #: Shares of all postings up to which the owners, in this order, hold terms.
 OWNERS = (1 / 64, 1 / 8, 1.0)
-SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 21
+SHARD_DOCS, SHARD_POSTINGS = 1 << 12, 1 << 19
 HELD = "row long, doc_id long, n long, terms binary, hits binary"
 POSTINGS = "bundle int, shard long, owner int, ids array<bigint>, terms binary, counts binary, places binary, values binary"
 BUNDLES = "bundle int, shard long, counts binary, places binary, sums binary"
@@ -73,10 +73,11 @@ class Wave:
             by_item.setdefault(r["item_id"], []).append(number[r["term"]])
         self.item_ids = sorted(by_item, key=lambda i: (i is None, i or 0))
         self.item_terms = [np.array(sorted(by_item[i]), np.int64) for i in self.item_ids]
-        self.bundles = -(-len(self.item_ids) // BUNDLE)
+        self.bundle_items = BUNDLE
+        self.bundles = -(-len(self.item_ids) // self.bundle_items)
 
     def items_of(self, bundle: int) -> range:
-        return range(bundle * BUNDLE, min((bundle + 1) * BUNDLE, len(self.item_ids)))
+        return range(bundle * self.bundle_items, min((bundle + 1) * self.bundle_items, len(self.item_ids)))
 
 
 def waves(items: DataFrame, most: int = WAVE_TERMS) -> Iterator[Wave]:
