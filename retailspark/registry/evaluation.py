@@ -206,7 +206,7 @@ def prediction_rows(spark, d):
     return reports.prediction_rows(recs, rows.select("customer_id", "target_article_id").distinct())
 
 
-def _scores_part(name: str, ranked: str, truth: str, users: str, k: int) -> None:
+def scores_part(name: str, ranked: str, truth: str, users: str, k: int) -> None:
     part(name, f"""SELECT u.customer_id, coalesce(h.hits / r.relevant, 0) AS recall, CASE WHEN h.hits > 0 THEN 1.0 ELSE 0.0 END AS hit_rate,
       coalesce(1.0 / h.first_hit, 0) AS reciprocal_rank, coalesce(h.dcg, 0) AS dcg,
       coalesce(h.dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, {k} + 1) t(i) WHERE i <= r.relevant), 0) AS ndcg
@@ -220,7 +220,7 @@ def _means(names=("recall", "hit_rate", "reciprocal_rank", "dcg", "ndcg")) -> st
 
 
 part("known_targets", "SELECT customer_id, target_article_id AS article_id FROM targets SEMI JOIN articles a ON a.article_id = target_article_id")
-_scores_part("wish_scores", "wish_recs", "known_targets", "known_targets", 10)
+scores_part("wish_scores", "wish_recs", "known_targets", "known_targets", 10)
 
 
 @query("evaluate_metadata_baseline", f"SELECT {_means(('hit_rate', 'reciprocal_rank', 'ndcg'))} FROM wish_scores")
@@ -232,7 +232,7 @@ def evaluate_metadata_baseline(spark, d):
 part("eval_users", "SELECT DISTINCT customer_id FROM truth")
 _candidates_sql("eval", "eval_users", 500)
 part("eval_ranked", "SELECT customer_id, article_id, candidate_rank AS position FROM eval_candidates")
-_scores_part("eval_scores", "eval_ranked", "truth", "eval_users", K)
+scores_part("eval_scores", "eval_ranked", "truth", "eval_users", K)
 
 
 def rows_with_truth(spark, d):
@@ -250,7 +250,7 @@ def evaluate_candidates(spark, d):
 part("eval_rows", """SELECT t.* REPLACE (coalesce(t.category, k.category) AS category), label = 1 AS is_positive, coalesce(k.popularity, 0) AS popularity,
   k.item_age_days, coalesce(k.is_new_item, false) AS is_new_item FROM train_rows t LEFT JOIN (SELECT article_id, category, popularity, item_age_days, is_new_item FROM catalog) k USING (article_id)""")
 part("popular_recs", f"SELECT customer_id, article_id, position FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY popularity DESC, article_id) AS position FROM eval_rows) WHERE position <= {K}")
-_scores_part("popular_scores", "popular_recs", "truth", "eval_users", K)
+scores_part("popular_scores", "popular_recs", "truth", "eval_users", K)
 
 
 def enriched_rows(spark, d):

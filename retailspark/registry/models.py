@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from retailspark.functions import vectors
 from retailspark.operators import abtest, evaluation, feature_factors, joins, ranking, rerank, retrieval, retrieval_train, sampling
 from retailspark.operators import candidates as cand
-from retailspark.operators import features
+from retailspark.operators import windows
 from retailspark.plans import flows
 from retailspark.plans.staging import stage_path, staged
 from retailspark.registry.core import part, query
-from retailspark.registry.evaluation import K, POOL, enriched_rows, interest_text, rows_with_truth, sessions
+from retailspark.registry.evaluation import K, POOL, enriched_rows, interest_text, rows_with_truth, scores_part, sessions
 from retailspark.registry.features import catalog
 from retailspark.registry.sampling import HOLDOUT, SEED, pairs, sql_draw, train
 from retailspark.registry.tables import articles, customers
@@ -337,6 +337,38 @@ def rerank_lists(spark, d):
     return rerank.rerank(popularity_scored(spark, d), 10)
 
 
+# The same evaluation as for a fitted ranker and its lists, over scores that SQL can repeat.
+part("score_lists", f"SELECT customer_id, article_id, position FROM (SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS position FROM popularity_scored) WHERE position <= {K}")
+scores_part("score_scores", "score_lists", "truth", "eval_users", K)
+part("labelled_scores", "SELECT s.score, r.label FROM popularity_scored s JOIN eval_rows r USING (customer_id, article_id)")
+part("shown_lists", "SELECT customer_id, r.article_id AS article_id, position FROM (SELECT customer_id, unnest(chosen) AS r, generate_subscripts(chosen, 1) AS position FROM shown_final)")
+scores_part("shown_scores", "shown_lists", "truth", "eval_users", 10)
+
+
+@query("score_ranking", "SELECT customer_id, article_id, position FROM score_lists")
+def score_ranking(spark, d):
+    return windows.score_ranking(popularity_scored(spark, d), K).select("customer_id", "article_id", "position")
+
+
+@query("ranking_summary", """SELECT (SELECT count(*) FROM eval_rows) AS rows_evaluated, count(*) AS users_evaluated,
+  (SELECT round(sum(p * (below + n / 2)) / sum(p) / sum(n), 9)::DOUBLE FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+   FROM (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM labelled_scores GROUP BY 1))) AS auc,
+  round(avg(hit_rate), 9)::DOUBLE AS hit_rate, round(avg(ndcg), 9)::DOUBLE AS ndcg FROM score_scores""")
+def ranking_summary(spark, d):
+    _, truth, users = enriched_rows(spark, d)
+    return evaluation.ranking_summary(staged(popularity_scored(spark, d), "scored"), truth, users, K)
+
+
+@query("evaluate_reranked_lists", """SELECT 'all' AS subset, count(*) AS users_evaluated, round(avg(hit_rate), 9)::DOUBLE AS hit_rate, round(avg(ndcg), 9)::DOUBLE AS ndcg,
+  round((SELECT count(DISTINCT article_id) FROM shown_lists) / (SELECT count(DISTINCT article_id) FROM train_rows), 9) AS coverage FROM shown_scores
+  UNION ALL SELECT 'cold_start', 0, 0.0, 0.0, 0.0""")
+def evaluate_reranked_lists(spark, d):
+    rows, truth, users = enriched_rows(spark, d)
+    shown = rerank.rerank(popularity_scored(spark, d), 10).select("customer_id", F.col("product_id").alias("article_id"), "position")
+    total = rows.agg(F.count_distinct("article_id").alias("n")).scalar()
+    return evaluation.evaluate_lists(staged(shown, "lists"), truth, users, customers(spark, d), total, 10)
+
+
 @query("recommend_all")
 def recommend_all(spark, d):
     return flows.recommend_all(

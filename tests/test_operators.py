@@ -258,3 +258,61 @@ def test_reachable_rows_do_not_change_the_list(spark, monkeypatch):
 def test_short_lists_have_no_exploration(spark):
     got = rerank.rerank(scored(spark, "ab"), 10, epsilon=1.0).collect()
     assert len(got) == 2 and not any(r.is_exploration for r in got)
+
+
+def test_lists_that_cannot_reach_the_floor_change_nothing(spark):
+    """With a floor, every user's best items are those of all lists."""
+    import random
+    rng = random.Random(4)
+    items = [(f"{i:04d}", f"c{rng.randrange(6)}", f"m{rng.randrange(3)}", rng.choice(["red", "blue", None]), float(rng.randrange(50)), rng.random(), rng.choice([0.0, 0.5]))
+             for i in range(300)]
+    given = spark.createDataFrame(
+        items, "article_id string, category string, main_category string, color string, popularity double, normalized_popularity double, fresh_boost double"
+    )
+    points = spark.createDataFrame([
+        (f"u{u}", kind, value, float(rng.choice([1, 2, 3, 8])), 1, rng.randrange(2))
+        for u in range(12) for kind, value in {(rng.choice(["category", "main_category", "color"]), f"{rng.choice('cm')}{rng.randrange(6)}") for _ in range(6)}
+    ] + [("u0", "color", "red", 1.0, 1, 0), ("u1", "color", "blue", 2.0, 0, 1)], "customer_id string, kind string, value string, points double, recent int, session int")
+    lists = cand.item_lists(given, 25).cache()
+
+    def best(df, n):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.customer_id, []).append((-(r.signal_score + r.base), r.article_id, r.matches_recent_click_signal, r.matches_session_interest))
+        return {u: sorted(v)[:n] for u, v in out.items()}
+
+    whole = cand.signal_scores(points, lists)
+    assert whole.count() == whole.select("customer_id", "article_id").distinct().count()
+    for need in (1, 5, 20):
+        assert best(cand.signal_scores(points, lists, need), need) == best(whole, need)
+    assert cand.signal_scores(points, lists, 5).count() < whole.count()
+
+
+def test_feature_vectors_rank_for_unseen_users(spark):
+    """Purchases follow age and category; users that training has not seen are served by their age."""
+    import random
+    from retailspark.operators import feature_factors as ff
+    rng = random.Random(5)
+    ages, groups = ["20s", "30s", "40s", "50s"], ["a", "b", "c", "d"]
+    items = [(f"{i:04d}", groups[i % 4]) for i in range(80)]
+    users = [(f"u{i}", ages[i % 4]) for i in range(200)]
+    liked = {a: [x for x, g in items if g == groups[n]] for n, a in enumerate(ages)}
+    rows = []
+    for user, age in users:
+        for article in rng.sample(liked[age], 6):
+            rows.append((user, article, 1))
+        for article, _ in rng.sample(items, 6):
+            if article not in liked[age]:
+                rows.append((user, article, 0))
+    users_df = spark.createDataFrame(users, "customer_id string, age_bucket string")
+    items_df = spark.createDataFrame(items, "article_id string, category string")
+    pairs = spark.createDataFrame(rows, "customer_id string, article_id string, label int").join(users_df, "customer_id").join(items_df, "article_id")
+    known, unseen = pairs.where("substring(customer_id, 2) < '170' OR length(customer_id) < 4"), pairs.where("substring(customer_id, 2) >= '170' AND length(customer_id) = 4")
+    features = ff.Features(("age_bucket",), ("article_id", "category"))
+    factors = ff.fit_feature_factors(known, features, slots=512, rank=8, iterations=80)
+    truth = unseen.where("label = 1")
+    users_v, items_v = ff.user_vectors(users_df, features, factors, 512), ff.item_vectors(items_df, features, factors, 512)
+    got = ff.unseen_user_recall(users_v, items_v, truth, 20).first()
+    popular = ff.popularity_recall(known.where("label = 1"), truth, 20).first()
+    assert got["users_evaluated"] == popular["users_evaluated"] == truth.select("customer_id").distinct().count()
+    assert got["recall"] > 0.9 > 0.5 > popular["recall"]
