@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +21,67 @@ LOWER_AZ[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that returns free memory, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return memory that is free to the machine: a worker waits for later stages with what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A function over batches that gives back memory when it is through."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+#: Seconds between two times that a worker gives back memory after a group: a task may have very many small groups.
+PAUSE = 1.0
+_given_back = [0.0]
+
+
+def _after_group() -> None:
+    now = time.monotonic()
+    if now - _given_back[0] >= PAUSE:
+        _given_back[0] = now
+        give_back()
+
+
+def lean_group(run):
+    """The same for a function of one group of rows, after a group now and then."""
+
+    def wrapped(rows):
+        out = run(rows)
+        _after_group()
+        return out
+
+    return wrapped
+
+
+def lean_pair(run):
+    """The same for a function of two groups of rows."""
+
+    def wrapped(left, right):
+        out = run(left, right)
+        _after_group()
+        return out
+
+    return wrapped
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

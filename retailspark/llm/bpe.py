@@ -28,6 +28,7 @@ from __future__ import annotations
 import codecs
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,11 +39,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from retailspark.llm.arrays import lean
+
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{both}]+|\s+(?!\S)|\s+"
 PIECE_CHARS = 1 << 16
-CACHED_WORDS, CACHED_BORDERS = 1 << 19, 1 << 19
-NEVER = 1 << 60
+#: Words whose ids a worker remembers, and borders, the latter a power of two.
+CACHED_WORDS, BORDERS = 1 << 19, 1 << 19
+#: No rank is as large.
+NEVER = (1 << 31) - 1
 DECODE_STEP = 1 << 14
 GROUP_BYTES = 4 << 20
 
@@ -70,21 +75,29 @@ class Transducer:
             return bytes(as_bytes[c] for c in token)
 
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): n for n, (a, b) in enumerate(merges)}
-        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
-        for pair in self.ranks:
-            self.halves.setdefault(pair[0] + pair[1], pair)
+        pairs = [(raw(a), raw(b)) for a, b in merges]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         vocab = {raw(t): n for t, n in spec["model"]["vocab"].items() if t not in self.special}
-        self.packed = {t: np.int32(n).tobytes() for t, n in vocab.items()}
-        self.bytes_of = {n: t for t, n in vocab.items()} | {n: t.encode() for t, n in self.special.items()}
-        self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int]]] = {}
+        # Bytes of every id, one after the other, and where each begins.
+        by_id = {n: t for t, n in vocab.items()} | {n: t.encode() for t, n in self.special.items()}
+        self.size = max(by_id, default=-1) + 1
+        self.raw = b"".join(by_id.get(n, b"") for n in range(self.size))
+        self.begins = array("i", np.cumsum([0, *(len(by_id.get(n, b"")) for n in range(self.size))]).tolist())
+        # A merge by the ids of its halves: rank; and of every id the merge that makes it first.
+        self.shift = max(self.size - 1, 1).bit_length()
+        self.ranks: dict[int, int] = {}
+        made: dict[int, tuple[int, int, int]] = {}
+        for rank, (x, y) in enumerate(pairs):
+            self.ranks[vocab[x] << self.shift | vocab[y]] = rank
+            made.setdefault(vocab[x + y], (vocab[x], vocab[y], rank))
+        self.edges = [self._edges(made, side) for side in (0, 1)]
         # A token that its own bytes do not merge into never occurs in an encoding.
         self.usable = {
-            t: n for t, n in vocab.items() if len(t) == 1 or t in self.halves and self.merges_to(*self.halves[t])
+            t: n for t, n in vocab.items() if len(t) == 1 or n in made and self.first_crossing(*made[n][:2]) == made[n][:2]
         }
         self.lookahead = max(map(len, self.usable))
-        self.keeps: dict[int, bool] = {}  # by both ids in one number
+        # What is known about borders: the pair of ids and one bit, in the place that the pair hashes to.
+        self.keeps = array("q", [-1]) * BORDERS
         self.cache: dict[str, bytes] = {}
         self.cached_words = CACHED_WORDS
         self.special_split = (
@@ -109,30 +122,37 @@ class Transducer:
         known = known.replace("{L}", rf"[\p{{L}}--{out}]").replace("{N}", rf"[\p{{N}}--{out}]")
         return plain, regex.compile(known, regex.V1), regex.compile(out), min(new)
 
-    def edge(self, token: bytes, right: bool) -> list[tuple[bytes, int]]:
-        """Parts of a token that touch its right (or left) border while it is built, each with the rank that absorbs it."""
-        found = self.edges.get((token, right))
-        if found is None:
-            parts, absorbed = [], NEVER
+    def _edges(self, made: dict[int, tuple[int, int, int]], side: int) -> tuple[array, array, array]:
+        """Parts of each id that touch its left (0) or right (1) border while it is built, the last part first built,
+        each with the rank that absorbs it: where an id's parts begin, the parts, the ranks."""
+        begins, parts, absorbed = array("i", [0]), array("i"), array("i")
+        for token in range(self.size):
+            chain, rank = [], NEVER
             while True:
-                parts.append((token, absorbed))
-                if token not in self.halves:
+                chain.append((token, rank))
+                if token not in made:
                     break
-                absorbed = self.ranks[self.halves[token]]
-                token = self.halves[token][right]
-            found = self.edges[parts[0][0], right] = parts[::-1]
-        return found
-
-    def first_crossing(self, left: bytes, right: bytes) -> tuple[bytes, bytes] | None:
+                rank, token = made[token][2], made[token][side]
+            for part, ends in reversed(chain):
+                parts.append(part)
+                absorbed.append(ends)
+            begins.append(len(parts))
+        return begins, parts, absorbed
+
+    def bytes_of(self, token: int) -> bytes:
+        """Bytes of an id; none for one that the vocabulary does not have."""
+        return self.raw[self.begins[token]:self.begins[token + 1]] if 0 <= token < self.size else b""
+
+    def first_crossing(self, left: int, right: int) -> tuple[int, int] | None:
         """The pair that merges across the border while both tokens are built, if any does."""
-        a, b = self.edge(left, True), self.edge(right, False)
-        i = j = 0
+        (a_begins, a_parts, a_ends), (b_begins, b_parts, b_ends) = self.edges[1], self.edges[0]
+        i, j, ranks, shift = a_begins[left], b_begins[right], self.ranks, self.shift
         while True:
-            (x, x_ends), (y, y_ends) = a[i], b[j]
-            rank = self.ranks.get((x, y), NEVER)
+            x_ends, y_ends = a_ends[i], b_ends[j]
+            rank = ranks.get(a_parts[i] << shift | b_parts[j], NEVER)
             # Of equal ranks the leftmost pair merges first.
             if rank < x_ends and rank <= y_ends and rank < NEVER:
-                return x, y
+                return a_parts[i], b_parts[j]
             if x_ends == y_ends == NEVER:
                 return None
             if x_ends <= y_ends:
@@ -140,27 +160,25 @@ class Transducer:
             else:
                 j += 1
 
-    def merges_to(self, left: bytes, right: bytes) -> bool:
-        return self.first_crossing(left, right) == (left, right)
-
-    def keeps_border(self, left: bytes, right: bytes) -> bool:
-        key = self.usable[left] << 32 | self.usable[right]
-        known = self.keeps.get(key)
-        if known is None:
-            if len(self.keeps) >= CACHED_BORDERS:
-                self.keeps.clear()
-            known = self.keeps[key] = self.first_crossing(left, right) is None
-        return known
-
-    def stream(self, word: bytes) -> Iterator[list[bytes]]:
-        """Tokens of a word, in runs that are final when they are emitted."""
-        usable, reach = self.usable, self.lookahead
-        left: bytes | None = None  # last token emitted
-        base, last, check = 0, [], 2 * reach  # last[i]: last token of the prefix that ends i + 1 bytes after base
+    def keeps_border(self, left: int, right: int) -> bool:
+        key = left << self.shift | right
+        place = (key ^ key >> 15) & (BORDERS - 1)
+        known = self.keeps[place]
+        if known >> 1 == key:
+            return known & 1 == 1
+        found = self.first_crossing(left, right) is None
+        self.keeps[place] = key << 1 | found
+        return found
+
+    def stream(self, word: bytes) -> Iterator[list[int]]:
+        """Ids of a word, in runs that are final when they are emitted."""
+        number, reach = self.usable.get, self.lookahead
+        left: int | None = None  # last id emitted
+        base, last, check = 0, [], 2 * reach  # last[i]: last id of the prefix that ends i + 1 bytes after base
         for end in range(1, len(word) + 1):
             for begin in range(max(base, end - reach), end):
-                token = word[begin:end]
-                if token in usable:
+                token = number(word[begin:end])
+                if token is not None:
                     before = left if begin == base else last[begin - base - 1]
                     if before is None or self.keeps_border(before, token):
                         last.append(token)
@@ -175,55 +193,56 @@ class Transducer:
         if last:
             yield self._chain(last, len(last))
 
-    @staticmethod
-    def _chain(last: list[bytes], end: int) -> list[bytes]:
-        """Tokens of the prefix that ends at ``end``."""
+    def length(self, token: int) -> int:
+        return self.begins[token + 1] - self.begins[token]
+
+    def _chain(self, last: list[int], end: int) -> list[int]:
+        """Ids of the prefix that ends at ``end``."""
         tokens = []
         while end > 0:
             tokens.append(last[end - 1])
-            end -= len(tokens[-1])
+            end -= self.length(tokens[-1])
         return tokens[::-1]
 
-    @staticmethod
-    def _joined(last: list[bytes], reach: int) -> int:
+    def _joined(self, last: list[int], reach: int) -> int:
         """The latest place through which the chains of the last ``reach`` prefixes all pass."""
         places = set(range(len(last) - reach + 1, len(last) + 1))
         while len(places) > 1:
             top = max(places)
             places.remove(top)
-            places.add(top - len(last[top - 1]))
+            places.add(top - self.length(last[top - 1]))
         return places.pop()
 
     def whole_word(self, word: bytes) -> bytes:
         """Ids of a word that fits the window: the same recurrence as ``stream``, nothing to emit before its end."""
-        number, keeps, packed = self.usable.get, self.keeps, self.packed
-        if word in packed and number(word) is not None:
-            return packed[word]
+        number, keeps, shift, mask = self.usable.get, self.keeps, self.shift, BORDERS - 1
+        whole = number(word)
+        if whole is not None:
+            return whole.to_bytes(4, "little")
         last, starts = [-1], [0]  # id of the last token of each prefix, and where it begins
         for end in range(1, len(word) + 1):
             for begin in range(end):
                 token = number(word[begin:end])
                 if token is not None:
                     if begin:
-                        known = keeps.get(last[begin] << 32 | token)
-                        if known is None:
-                            known = self.keeps_border(self.bytes_of[last[begin]], word[begin:end])
-                        if not known:
+                        key = last[begin] << shift | token
+                        known = keeps[(key ^ key >> 15) & mask]
+                        if not (known & 1 if known >> 1 == key else self.keeps_border(last[begin], token)):
                             continue
                     last.append(token)
                     starts.append(begin)
                     break
         ids, end = [], len(word)
         while end:
-            ids.append(packed[word[starts[end]:end]])
+            ids.append(last[end])
             end = starts[end]
-        return b"".join(ids[::-1])
+        return array("i", ids[::-1]).tobytes()
 
     def word_ids(self, word: str) -> bytes:
         """Ids of a word as packed 32-bit numbers, remembered if the word is short."""
         raw = word.encode()
         if len(raw) >= self.lookahead:
-            return b"".join([self.packed[t] for run in self.stream(raw) for t in run])
+            return array("i", [t for run in self.stream(raw) for t in run]).tobytes()
         if len(self.cache) >= self.cached_words:
             self.cache.clear()
         ids = self.cache[word] = self.whole_word(raw)
@@ -256,9 +275,9 @@ class Transducer:
     def decode(self, ids: np.ndarray) -> str:
         """Text of some ids, by an incremental state machine from bytes to characters."""
         machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        table, text = self.bytes_of, []
+        bytes_of, text = self.bytes_of, []
         for at in range(0, len(ids), DECODE_STEP):
-            step = b"".join([table.get(i, b"") for i in ids[at:at + DECODE_STEP].tolist()])
+            step = b"".join([bytes_of(i) for i in ids[at:at + DECODE_STEP].tolist()])
             text.append(machine.decode(step))
         text.append(machine.decode(b"", True))
         return "".join(text)
@@ -313,7 +332,7 @@ def encode_bpe(
     names = [out] if decoded is None else [out, decoded]
     types = dict(zip(names, (T.ArrayType(T.IntegerType()), T.StringType())))
     df = df.drop(*names)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in types.items())]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in types.items())]))
 
 
 def decode_bpe(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

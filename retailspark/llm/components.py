@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retailspark.llm.arrays import lean
 from retailspark.plans.staging import staged
 
 SALTS = 4
@@ -62,13 +63,13 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = edges.select(
         F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"), F.lit(True).alias("home")
     )
-    edges = staged(ordered.where("a <> b").mapInArrow(contract, STATE), "edges")
+    edges = staged(ordered.where("a <> b").mapInArrow(lean(contract), STATE), "edges")
     moved = True
     while moved:
         own = edges.select("a", "b", F.col("a").alias("key"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
         from_below = edges.select("a", "b", F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
         met = own.withColumn("home", F.col("salt") == 0).unionByName(from_below.withColumn("home", F.lit(False)))
-        edges = staged(met.repartition("key", "salt").select("a", "b", "home").mapInArrow(contract, STATE), "edges")
+        edges = staged(met.repartition("key", "salt").select("a", "b", "home").mapInArrow(lean(contract), STATE), "edges")
         moved = bool(edges.agg(F.max("moved")).first()[0])
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()

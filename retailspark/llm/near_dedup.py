@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailspark.llm.arrays import LOWER_AZ, U64, byte_groups, column, mix, span_hashes, window_hashes, word_spans
+from retailspark.llm.arrays import (
+    LOWER_AZ, U64, byte_groups, column, lean, lean_group, lean_pair, mix, span_hashes, window_hashes, word_spans,
+)
 from retailspark.llm.components import components, stars
 from retailspark.llm.exchange import answers_in_order, bucket_cuts, in_chunks, layout
 from retailspark.plans.skew import lookup_join
@@ -104,7 +106,7 @@ def described(docs: DataFrame) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, signature binary"
+        lean(run), "doc_id long, n_shingles long, set_key binary, signature binary"
     )
 
 
@@ -166,9 +168,9 @@ def family_edges(known: DataFrame, chunks: int, buckets: int) -> DataFrame:
         return pa.table({"a": pa.array(nodes[below]), "b": pa.array(roots[below])})
 
     by_chunk = in_chunks(known, chunks, "signature").groupBy("chunk")
-    asked = by_chunk.applyInArrow(ask, "bucket int, chunk int, keys binary, docs binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "kind int, bucket int, chunk int, answer binary")
-    return by_chunk.cogroup(answered.groupBy("chunk")).applyInArrow(edges, "a long, b long")
+    asked = by_chunk.applyInArrow(lean_group(ask), "bucket int, chunk int, keys binary, docs binary")
+    answered = asked.groupBy("bucket").applyInArrow(lean_group(answer), "kind int, bucket int, chunk int, answer binary")
+    return by_chunk.cogroup(answered.groupBy("chunk")).applyInArrow(lean_pair(edges), "a long, b long")
 
 
 class Links:
@@ -229,7 +231,7 @@ def confirm_groups(members: DataFrame, *keys: str) -> DataFrame:
         found = confirm(rows["doc_id"].to_numpy(), rows["label"].to_numpy(), coded, sets, rows["is_left"].to_numpy())
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    return members.groupBy(*keys).applyInArrow(run, "a long, b long")
+    return members.groupBy(*keys).applyInArrow(lean_group(run), "a long, b long")
 
 
 def with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -247,7 +249,7 @@ def with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
     return joined.select("doc_id", "family", "signature", "text").mapInArrow(
-        run, "doc_id long, family long, signature binary, shingles binary"
+        lean(run), "doc_id long, family long, signature binary, shingles binary"
     )
 
 

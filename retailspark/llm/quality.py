@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailspark.llm.arrays import LOWER_AZ, U64, byte_groups, column, mix, span_hashes, word_spans
+from retailspark.llm.arrays import LOWER_AZ, U64, byte_groups, column, lean, lean_group, mix, span_hashes, word_spans
 
 SLOTS = 1 << 16
 MAX_ROWS = 12_000
@@ -164,8 +164,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
         return pa.table({"model": pa.array([model.astype(np.float64).tobytes()], pa.binary())})
 
     sample = labelled_sample(docs, labels, label_col, max_rows)
-    rows = sample.mapInArrow(featurize, "doc_id long, label int, slots binary")
-    found = rows.withColumn("everything", F.lit(1)).groupBy("everything").applyInArrow(fit, "model binary").first()
+    rows = sample.mapInArrow(lean(featurize), "doc_id long, label int, slots binary")
+    found = rows.withColumn("everything", F.lit(1)).groupBy("everything").applyInArrow(lean_group(fit), "model binary").first()
     return np.frombuffer(found["model"], np.float64) if found else fit_arrays([], np.zeros(0, int))
 
 
@@ -186,7 +186,7 @@ def score_quality(
 
     read = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(score_col, T.DoubleType())])
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, model: np.ndarray, threshold: float) -> DataFrame:
