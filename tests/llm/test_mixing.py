@@ -86,6 +86,38 @@ def test_mix_repeats_rows_and_keeps_columns(make_docs, with_clashes):
     assert mixing.mix(make_docs([])).count() == 0 and mixing.taken_words(make_docs([])).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(make_docs, with_clashes):
+    """One row per input row, none above twice its size; the mix takes each as often as the query says."""
+    rows = [(None, "a b", "s"), (None, "a b", "s"), (None, None, "s"), (7, "one two three", "s"), (7, "x", "t"), (7, "x", "t"), (8, "y z", "t")]
+    rows += [(None, "w " * n, "hot") for n in range(1, 120)]
+    docs = with_clashes(make_docs(rows))
+    got = mixing.taken_words(docs).collect()
+    assert sorted(r.size for r in got) == sorted(len((t or "").split()) for _, t, _ in rows)
+    assert all(0 <= r.taken <= 2 * r.size and len(r.shards) * r.size == r.taken for r in got if r.size)
+    want = Counter()
+    for r in got:
+        want[r.doc_id, r.size] += len(r.shards)
+    mixed = Counter((r.doc_id, len((r.text or "").split())) for r in mixing.mix(docs).collect())
+    assert {k: n for k, n in mixed.items() if k[1]} == {k: n for k, n in want.items() if k[1] and n}
+    again = mixing.taken_words(docs.repartition(5)).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in got)
+
+
+def test_shards_of_the_query_are_those_of_the_tree(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    rows = docs_of({f"s{i}": [10] * 90 for i in range(4)})
+    got = mixing.taken_words(make_docs(rows), shard_words=800).collect()
+    dealt = Counter(s for r in got for s in r.shards)
+    drawn = mixing.draws(mixing.sized_documents(make_docs(rows)), shard_words=800).where("copy > 0").groupBy("shard").count().collect()
+    assert dealt == {r["shard"]: r["count"] for r in drawn} and len(dealt) >= 5
+
+
+def test_too_many_sources_are_an_error(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError):
+        mixing.taken_words(make_docs(docs_of({f"s{i}": [1] for i in range(4)})))
+
+
 def test_shards_are_even_and_blocks_disjoint(make_docs, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
     rows = docs_of({f"s{i}": [10] * 90 for i in range(4)})

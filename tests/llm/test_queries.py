@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op2_quality": "doc_id held_out score predicted",
-    "op3_mixing": "doc_id size source_size target taken",
+    "op3_mixing": "doc_id size source_size target taken shards",
     "op4_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op5_near_dedup": "doc_id n_shingles component_id kept",
     "op6_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
