@@ -2,14 +2,15 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from retailspark.llm import topk
 
 
 def brute(rows, k):
     whole = {}
-    for i, v in rows:
-        if v is not None and all(x is not None and math.isfinite(x) for x in v):
+    for i, v in sorted(rows, key=lambda r: (str(r[0]), [math.floor(1024 * x) if x is not None and math.isfinite(x) else 0 for x in r[1] or []])):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             whole.setdefault(i, []).append([math.floor(1024 * x) for x in v])
     out = []
     for q, (mine, *_) in whole.items():
@@ -38,8 +39,10 @@ def cloud(seed, n, dim, spread):
 @pytest.mark.parametrize("spread", [0.0, 1.5])
 def test_equals_brute_force(spark, monkeypatch, spread):
     """Small buckets, so that length and coordinate pruning both happen."""
-    monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 40)
+    monkeypatch.setattr(topk, "BUCKET_VALUES", 128)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 20)
+    monkeypatch.setattr(topk, "SLICE_BLOCKS", 2)
+    monkeypatch.setattr(topk, "HEAD_ROWS", 8)
     rows = cloud(3, 220, 8, spread)
     assert found(spark, rows, 5) == brute(rows, 5)
 
@@ -52,6 +55,16 @@ def test_odd_vectors(spark):
     assert found(spark, [], 3) == []
 
 
+def test_null_and_repeated_ids(spark, with_clashes):
+    """Rows without id take no part; of queries that share an id, the smallest vector is asked."""
+    rows = [(None, [9.0, 9.0]), (None, None), (3, [2.0, 1.0]), (3, [1.0, 5.0]), (3, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (6, [3.0, 3.0])]
+    for given in (rows, rows[::-1]):
+        assert found(spark, given, 4) == brute(given, 4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clashing = df.withColumns({n: F.lit("other") for n in ("whole", "dim", "norm", "range", "row", "block", "part", "slice", "score", "rank")})
+    assert sorted(tuple(r) for r in topk.top_k(clashing, clashing.where("vec_id % 3 = 0"), 4).collect()) == brute(rows, 4)
+
+
 def test_products_beyond_doubles_are_exact(spark):
     rows = [(i, [float(1 << 20) + i, 1.5 + i, -float(1 << 19) + i * 0.001]) for i in range(12)]
     assert found(spark, rows, 4) == brute(rows, 4)
