@@ -7,14 +7,15 @@ frequency for every word and for one end.
 1. Every map task counts the distinct grams of its texts, with 0 for texts it may not learn from, and its
    distinct training words; counts of equal grams and words meet in buckets of their hash. So a gram
    that every text holds arrives once per task.
-2. Grams are dealt by their two nearest context bytes, so a subtree of the context tree is complete in
-   one place. Subtrees weigh themselves and report their roots, summed by the nearest byte:
-   at most 256 contexts, which weigh the top of the tree.
+2. Grams are dealt by their three nearest context bytes, so a subtree of the context tree is complete in
+   one place; what is left of a gram, two context bytes and a symbol, bounds a subtree whatever the size of the corpus. Subtrees
+   weigh themselves and report their roots, summed by the two nearest bytes: at most 65,536 contexts, of which texts use some
+   thousands, and which weigh the top of the tree.
 3. Subtrees turn each of their grams into the log chance of its last byte.
 4. Texts are dealt into chunks; a chunk asks the buckets for its distinct grams and words and adds up.
 
 No table of contexts or words is ever whole in one place; the top of the tree and the three totals of the base are fixed in size.
-A subtree task holds the distinct grams behind some pairs of bytes, not their occurrences.
+A subtree task holds the distinct grams behind some triples of bytes, not their occurrences.
 
 Defined results: a null text is an empty one and consists of its end alone; with no training text every byte costs 8 bits and the base is
 that of counts of zero; rows that repeat an id are scored alike; other columns are not read. A zero byte inside a text is read like its end.
@@ -36,7 +37,7 @@ from retailspark.llm.exchange import bucket_of, in_chunks, layout
 from retailspark.plans.staging import staged
 
 DEPTH = 5
-NEAREST = 2
+NEAREST = 3
 CHUNK = 8 << 20
 GRAM, WORD = 1, 2
 PART_ENTRIES = 1 << 20
@@ -175,7 +176,7 @@ def count_corpus(docs: DataFrame, learn: Column, buckets: int) -> Counts:
 
 
 def weigh_top(grams: DataFrame) -> Top:
-    """The tree above the subtrees, from their roots summed by the nearest byte."""
+    """The tree above the subtrees, from their roots summed by their nearest bytes but one."""
 
     def roots(rows: pa.Table) -> pa.Table:
         tree = _subtrees(rows)
@@ -192,7 +193,7 @@ def weigh_top(grams: DataFrame) -> Top:
     summed = found.groupBy("node").agg(
         F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.array_sort(F.collect_list("weight")).alias("weights")
     ).select("node", "zeros", "ones", F.aggregate("weights", F.lit(0.0), lambda s, w: s + w).alias("weight"))
-    top = summed.orderBy("node").toPandas()  # at most 256 contexts of 255 nodes
+    top = summed.orderBy("node").toPandas()  # at most 65,536 contexts of 255 nodes
     return Top(
         top["node"].to_numpy(np.int64).view(U64), top["zeros"].to_numpy(np.int64), top["ones"].to_numpy(np.int64),
         top["weight"].to_numpy(float), NEAREST,
