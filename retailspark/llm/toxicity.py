@@ -8,8 +8,11 @@ speaks for it. A text's evidence is the largest saving and the sum of the three
 logistic curve, calibrated on labelled texts that the dictionaries have not seen, turns it into
 a score.
 
-The stretches are words of toxic texts with a byte n-gram that is frequent there and absent, or
-nearly so, from ordinary texts.
+The stretches are words of toxic texts with a byte n-gram that sets these apart: at least ``MIN_PURITY`` of the labelled
+texts that hold it are toxic, and chance alone would give so many with a probability below ``CHANCE`` over all n-grams
+together. So a term needs a number of toxic texts that grows with the logarithm of the n-grams, not with the sample. The toxic
+dictionary has ``TOXIC_BYTES``, from which the trainer leaves out what many texts do not share; larger ones flag more ordinary
+texts (README).
 
 The model is fitted in one task on at most ``max_rows`` labelled texts of each class (the first by
 hash of their id). These are whole: the dictionaries and the curve see every window, as scoring
@@ -42,7 +45,7 @@ ORDINARY_BYTES = 1 << 16
 TOXIC_BYTES = 512
 MAX_ROWS = 2_000
 GRAMS = (4, 5, 6, 8)
-MIN_DOCS, MIN_SHARE, MIN_LOG_RATIO = 4, 0.03, 4.0
+MIN_DOCS, MIN_PURITY, CHANCE = 4, 0.9, 0.01
 TOP = 3
 
 
@@ -92,12 +95,9 @@ def telling_stretches(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     for side, texts in zip(counts, (toxic, ordinary)):
         for pieces in texts:
             side.update(_grams({w for p in pieces for w in p.split()}))
-    base = math.log((len(ordinary) + 1) / (len(toxic) + 1))
-    floor = max(MIN_DOCS, MIN_SHARE * len(toxic))
-    least = min(MIN_LOG_RATIO, math.log(2 * floor + 1) + base)
-    telling = {
-        g for g, n in counts[0].items() if n >= floor and math.log((n + 0.5) / (counts[1][g] + 0.5)) + base >= least
-    }
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    limit = math.log(CHANCE / max(len(counts[0]), 1))
+    telling = {g for g, n in counts[0].items() if n >= MIN_DOCS and _log_chance(n, counts[1][g], share) <= limit}
     # A longer n-gram around a telling one says nothing more.
     telling = {g for g in telling if telling.isdisjoint(_grams({g}) - {g})}
     known: dict[bytes, list[bytes]] = {}
@@ -110,6 +110,15 @@ def telling_stretches(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     return found
 
 
+def _log_chance(n: int, others: int, share: float) -> float:
+    """Log of a bound on the chance of n or more toxic texts among n + others, at this share; 0 if they are not nearly all."""
+    found = n / (n + others)
+    if found < max(MIN_PURITY, share):
+        return 0.0
+    rest = (1 - found) * math.log((1 - found) / (1 - share)) if others else 0.0
+    return -(n + others) * (found * math.log(found / share) + rest)
+
+
 def _covered(word: bytes, telling: set[bytes]) -> list[bytes]:
     """Parts of a word (with a space on both sides) under n-grams of ``telling``."""
     marks = bytearray(len(word))

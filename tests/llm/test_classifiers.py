@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from retailspark.llm import quality, toxicity
 
@@ -71,6 +72,33 @@ def test_toxicity_on_held_out_rows(tables):
     assert n > 50 and wrong <= 0.1 * n
 
 
+def test_toxicity_finds_toxic_rows_and_leaves_others(spark):
+    """Held-out rows of the larger table: "never toxic" finds none of them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    held = scored.join(labels.where(~quality.in_training(F.col("doc_id"))), "doc_id").select("toxic", "score").collect()
+    found = [r.score >= 0.5 for r in held if r.toxic == 1]
+    flagged = [r.score >= 0.5 for r in held if r.toxic == 0]
+    assert len(found) > 80 and sum(found) >= 0.5 * len(found)
+    assert len(flagged) > 600 and sum(flagged) <= 0.06 * len(flagged)
+
+
+def test_rarer_terms_count_with_more_texts():
+    """A term needs a number of toxic texts, not a share of them."""
+    draw = random.Random(8)
+
+    def text(term):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+        return ["".join(words[:0]).encode(), " ".join(words + ([term] * 2 if term else [])).encode()]
+
+    rare = [text("velkropp") for _ in range(30)]  # 1.5 % of the toxic texts
+    common = [text("grumbax") for _ in range(1970)]
+    marks = b" ".join(set(toxicity.telling_stretches(rare + common, [text(None) for _ in range(2000)])))
+    assert b"velk" in marks and b"grum" in marks
+    few = b" ".join(set(toxicity.telling_stretches(rare[:5] + common, [text(None) for _ in range(2000)])))
+    assert b"velk" not in few
+
+
 def test_toxicity_learns_marks_from_enough_texts():
     draw = random.Random(4)
     syllables = ["an", "the", "on", "ing", "er", "re", "st", "en", "ou", "tion", "ed", "ly"]
