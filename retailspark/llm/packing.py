@@ -21,11 +21,11 @@ columns stay, but those named like a new column are replaced; the order inside a
 
 from __future__ import annotations
 
-import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,118 +33,152 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailspark.llm.arrays import column, row_groups
+from retailspark.llm.arrays import U64, byte_groups, column, row_groups, span_hashes, word_spans
 from retailspark.llm.bpe import byte_letters
 from retailspark.plans.staging import staged
 
 CAPACITY, END_ID = 2048, 0
 BLOCK, OPEN_BINS, FAN_IN, PATIENCE = 1 << 16, 64, 64, 32
-#: Words a worker remembers, and the longest it does, about 200 bytes each.
-CACHED_WORDS, CACHED_BYTES = 1 << 19, 48
-TEXT_GROUP, WORDS_AT_ONCE = 8 << 20, 4096
-STOPS, LAST_PLAIN = b".,;:!?", chr(0x300)
+#: Words a worker remembers, about 150 bytes each, and how long they may be in all.
+CACHED_WORDS, CACHED_BYTES = 1 << 19, 32 << 20
+WORDS_AT_ONCE, PIECES_AT_ONCE = 4096, 8 << 20
+#: A line that is a word of lower-case letters below U+0300 and the stops after it, or anything else.
+LOWER = "".join(c for c in map(chr, range(0x300)) if c.isalpha() and c == c.lower())
+LETTERS_AND_STOPS = re.compile(rf"(?:([{LOWER}]+)([.,;:!?]*)|[^\n]*)\n")
 PIECE_FIELDS = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids": T.BinaryType()}
 
 
+class WordNumbers(dict):
+    """Number of each word, in the order in which words are first asked for; ``new`` lists those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordIds:
     """Ids of texts by the library, for a vocabulary of words with end marks, whose tokens never cross white space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.library, self.plain):
-            t.no_truncation()
-            t.no_padding()
-        # The same merges for words that are already normalised and cut: one token of each word carries the end mark.
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        self.ends[[n for t, n in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
         (self.separator,) = self.library.encode("|", add_special_tokens=False).ids
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.cache: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew: no words, and no ids of words (one after the other, with where each word's begin)."""
+        self.numbers, self.held_bytes = WordNumbers(), 0
+        self.ids, self.starts = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)
 
     def packed(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def joined(self, library, words: list[str], between: str, last_of) -> Iterator[tuple[str, bytes | None]]:
-        """Ids of many words by one call; ``last_of`` tells where the ids of a word end. None if their number differs."""
+    def joined(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different words without the separator, many by one call with separators between them."""
+        found: dict[str, bytes] = {}
         for at in range(0, len(words), WORDS_AT_ONCE):
             some = words[at:at + WORDS_AT_ONCE]
-            (coded,) = library.encode_batch_fast([between.join(some)], add_special_tokens=False)
+            (coded,) = self.library.encode_batch_fast([" | ".join(some)], add_special_tokens=False)
             ids = np.array(coded.ids, "<u4")
-            starts, ends = last_of(ids)
-            raw = ids.tobytes()
+            cuts = np.flatnonzero(ids == self.separator)
+            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
             if len(starts) == len(some):
-                yield from ((w, raw[a:b]) for w, a, b in zip(some, (starts * 4).tolist(), (ends * 4).tolist()))
+                raw = ids.tobytes()
+                found.update(zip(some, [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist())]))
             else:
-                yield from ((w, None) for w in some)
-
-    def after_marks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        return np.append(0, ends[:-1]), ends
-
-    def between_separators(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cuts = np.flatnonzero(ids == self.separator)
-        return np.append(0, cuts + 1), np.append(cuts, len(ids))
-
-    def letter_words(self, words: dict[str, None]) -> dict[str, bytes]:
-        """Ids of lower-case words of letters below U+0300 only: such a word is one unit of the vocabulary's pattern."""
-        table = self.letters
-        shown = {w if w.isascii() else "".join([table[b] for b in w.encode()]): w for w in words}
-        found = {}
-        for seen, ids in self.joined(self.plain, list(shown), " ", self.after_marks):
-            found[shown[seen]] = ids if ids is not None else self.packed(shown[seen])
+                found.update((w, self.packed(w)) for w in some)
         return found
 
-    def other_words(self, words: dict[str, None]) -> dict[str, bytes]:
+    def letter_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of letters below U+0300 only: such a word is one unit of the vocabulary's pattern,
+        so the library's model takes it as it is, each byte as its letter in the vocabulary."""
+        merged, table = self.model.tokenize, self.letters
+        return {
+            w: array("I", [t.id for t in merged(w if w.isascii() else "".join([table[b] for b in w.encode()]))]).tobytes() for w in words
+        }
+
+    def other_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of any words. One that has the separator in it goes to the library by itself."""
         found = {w: self.packed(w) for w in words if "|" in w}
-        for w, ids in self.joined(self.library, [w for w in words if w not in found], " | ", self.between_separators):
-            found[w] = ids if ids is not None else self.packed(w)
-        return found
+        return found | self.joined([w for w in words if w not in found])
 
-    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not remembered. Of a word of letters, upper case and the stops after it are taken off first:
+    def learn(self, new: list[bytes]) -> None:
+        """Append the ids of words. Of a word of letters, upper case and the stops after it are taken off first:
         below U+0300 nothing composes, and the vocabulary's pattern never joins a letter and a stop."""
-        parts, letters, others = [], {}, {}
-        for word in new:
-            bare = word.rstrip(STOPS)
-            if bare.isalpha():
-                core = bare.lower().decode()
-            else:
-                core = bare.decode()
-                core = core.lower() if core.isalpha() and max(core) < LAST_PLAIN else ""
-                core = core if core.isalpha() and max(core) < LAST_PLAIN else ""
-            if core:
-                stops = word[len(bare):].decode()
-                letters[core] = None
-                if stops:
-                    others[stops] = None
-            else:
-                core, stops = word.decode(), ""
-                others[core] = None
-            parts.append((word, core, stops))
-        known = self.letter_words(letters) | self.other_words(others) | {"": b""}
-        return {word: known[core] + known[stops] for word, core, stops in parts}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of every text, given as UTF-8."""
-        lists = [t.split() for t in texts]  # of bytes: at ASCII white space
-        cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        new = set(chain.from_iterable(lists)).difference(cache)
-        if new:
-            cache.update(self.learn(new))
-        out = [b"".join(map(cache.__getitem__, words)) for words in lists]
-        for word in new:
-            if len(word) > CACHED_BYTES:
-                del cache[word]
-        return out
+        parts = LETTERS_AND_STOPS.findall(b"\n".join(new).lower().decode() + "\n")
+        odd = {word: word.decode() for word, (core, _) in zip(new, parts) if not core}
+        letters = self.letter_words({core for core, _ in parts} - {""})
+        others = self.other_words({stops for _, stops in parts if stops} | set(odd.values())) | {"": b""}
+        found = [letters[core] + others[stops] if core else others[odd[word]] for word, (core, stops) in zip(new, parts)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        first, at = len(self.numbers) - len(new), self.starts[len(self.numbers) - len(new)]
+        self.starts = with_room(self.starts, len(self.numbers) + 1)
+        self.starts[first + 1:first + 1 + len(new)] = at + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        self.ids = with_room(self.ids, at + len(ids))
+        self.ids[at:at + len(ids)] = ids
+        self.held_bytes += sum(map(len, new))
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
+        """Packed ids of every text, given as UTF-8 with the offset of each."""
+        if len(self.numbers) > CACHED_WORDS or self.held_bytes > CACHED_BYTES:
+            self.forget()
+        starts, ends, first = word_spans(offsets, data)
+        kinds, kind = different_words(data, starts, ends)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[kinds].tolist(), ends[kinds].tolist())]
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new:
+            self.learn(self.numbers.new)
+            self.numbers.new = []
+        begins = self.starts[numbers]
+        lengths = (self.starts[numbers + 1] - begins)[kind]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        out = self.ids[np.repeat(begins[kind] - before[:-1], lengths) + np.arange(before[-1])].tobytes()
+        cuts = (before[first] * 4).tolist()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def with_room(values: np.ndarray, size: int) -> np.ndarray:
+    """The same numbers in an array of at least ``size`` places."""
+    if len(values) >= size:
+        return values
+    out = np.zeros(max(size, 2 * len(values)), values.dtype)
+    out[:len(values)] = values
+    return out
+
+
+def different_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different word, and for every word which of these it equals.
+
+    Words are sorted by a 64-bit hash. Length, first and last eight bytes are compared besides, so words of up to 16 bytes are told
+    apart for certain, and longer ones that agree in all this but for a chance of 2^-64 per pair.
+    """
+    _, kinds, kind = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if not len(starts):
+        return kinds, kind
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    eight = np.ascontiguousarray(eight[starts]).view("<u8").ravel(), np.ascontiguousarray(eight[np.maximum(ends - 8, 0)]).view("<u8").ravel()
+    lengths = ends - starts
+    short = U64(0xFFFFFFFFFFFFFFFF) >> (np.maximum(8 - lengths, 0) * 8).astype(U64)
+    head, tail = eight[0] & short, np.where(lengths >= 8, eight[1], U64(0))
+    own = kinds[kind]
+    odd = (lengths != lengths[own]) | (head != head[own]) | (tail != tail[own])
+    if odd.any():  # a hash that two words share: these words stand for themselves
+        extra = np.flatnonzero(odd)
+        kind[extra] = len(kinds) + np.arange(len(extra))
+        kinds = np.concatenate([kinds, extra])
+    return kinds, kind
 
 
 @lru_cache(maxsize=4)
@@ -160,13 +194,11 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, last = word_ids(path), np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
-            texts = column(batch, text_col)
-            lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
-            for first, end in row_groups(lengths, TEXT_GROUP):
-                coded = model.encode([t or b"" for t in texts.slice(first, end - first).cast(pa.binary()).to_pylist()])
+            for first, end, offsets, data in byte_groups(column(batch, text_col)):
+                coded = model.encode(offsets, data)
                 rows = batch.slice(first, end - first)
                 others = [rows.column(i) for i, n in enumerate(rows.schema.names) if n in kept]
-                for some in row_groups(np.array([len(c) for c in coded]), TEXT_GROUP):
+                for some in row_groups(np.array([len(c) for c in coded]), PIECES_AT_ONCE):
                     yield from cut(others, coded, *some, last)
 
     def cut(others, coded, first, end, last):
@@ -185,8 +217,6 @@ def token_pieces(
         ]
         yield pa.RecordBatch.from_arrays([*(c.take(take) for c in others), *added], [*kept, *PIECE_FIELDS])
 
-    import pyarrow.compute  # noqa: F401
-
     fields = [f for f in df.schema.fields if f.name != text_col and f.name not in PIECE_FIELDS]
     kept = [f.name for f in fields]
     return df.select(*[F.col(f"`{n}`") for n in kept], text_col).mapInArrow(
@@ -261,8 +291,11 @@ class Search:
             piece = int(fits[0])
             rooms = self.room[others]
             able = np.flatnonzero(rooms >= self.size[piece])
-            self.shift([piece], int(others[able[np.argmin(rooms[able])]]))
-            return True
+            to = int(others[able[np.argmin(rooms[able])]])
+            # A bin that was given up may be emptier still.
+            if self.fill[to] + self.size[piece] > self.fill[victim]:
+                self.shift([piece], to)
+                return True
         foreign = np.flatnonzero((self.of != victim) & (self.room[self.of] > 0))
         if not len(foreign):
             return False
