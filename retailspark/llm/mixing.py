@@ -230,22 +230,22 @@ def taken_words(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORD
 
 def mix(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mixed documents: every column of ``docs``, a row per copy taken, a partition per shard, in the order of ``place``."""
-    # Rows are numbered in a table of their own, so that a lost executor cannot number them anew.
-    whole = staged(
-        docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.monotonically_increasing_id().alias("row")
-        ),
-        "mix-documents",
-    )
-    named = whole.select("document.doc_id", "document.source", "document.text", "row")
+    document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    sized = sized_documents(docs)
+    if sized.where("repeat > 0").isEmpty():
+        whole, key = docs.select(document, F.col("doc_id").alias("key")), "doc_id"
+    else:
+        # An id does not tell its rows apart. They are numbered in a table of their own, so that a lost executor cannot number them anew.
+        whole, key = staged(docs.select(document, F.monotonically_increasing_id().alias("key")), "mix-documents"), "row"
+        sized = sized_documents(whole.select("document.doc_id", "document.source", "document.text", "key"), F.col("key"))
     copies = staged(
-        draws(sized_documents(named, F.col("row")), seed, shard_words).where("copy > 0").select(
-            F.col("row").alias("own row"), F.col("shard").cast("int").alias("shard"), "place", "copy"
+        draws(sized, seed, shard_words).where("copy > 0").select(
+            F.col(key).alias("own key"), F.col("shard").cast("int").alias("shard"), "place", "copy"
         ),
         "mix-copies",
     )
     last = copies.agg(F.max("shard")).first()[0]
     # The narrow side is hashed, so texts are not sorted to be joined, only inside their shard.
-    joined = whole.join(copies.hint("shuffle_hash"), whole["row"] == copies["own row"])
-    dealt = joined.repartitionById((last or 0) + 1, "shard").sortWithinPartitions("shard", "place", "row", "copy")
+    joined = whole.join(copies.hint("shuffle_hash"), whole["key"].eqNullSafe(copies["own key"]))
+    dealt = joined.repartitionById((last or 0) + 1, "shard").sortWithinPartitions("shard", "place", "key", "copy")
     return dealt.select("document.*")
