@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from retailspark.llm.arrays import lean
+from retailspark.llm.arrays import give_back, lean
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{both}]+|\s+(?!\S)|\s+"
@@ -288,7 +288,9 @@ SAFE_PLACE = regex.compile(r"\S(?=\s)")
 
 @lru_cache(maxsize=4)
 def transducer(path: str) -> Transducer:
-    return Transducer(path)
+    model = Transducer(path)
+    give_back()  # the parsed file is several times as large as the tables made from it
+    return model
 
 
 def row_groups(lengths: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:

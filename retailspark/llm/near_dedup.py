@@ -303,7 +303,8 @@ def near_groups(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     classes = staged(usable.groupBy("set_key").agg(
         F.min("doc_id").alias("class_id"), F.min_by("signature", "doc_id").alias("signature")), "near-classes")
     stand_ins = classes.select(F.col("class_id").alias("doc_id"), "signature")
-    family = components(family_edges(stand_ins, plan.chunks, plan.buckets))
+    # Staged, so that a task needs one Python worker at a time.
+    family = components(staged(family_edges(stand_ins, plan.chunks, plan.buckets), "near-families"))
     members = stand_ins.join(family, F.col("doc_id") == F.col("node")).select(
         "doc_id", F.col("component").alias("family"), "signature"
     )
