@@ -107,3 +107,13 @@ def test_positions_of_the_policy_are_those_of_the_column(spark):
         assert r.s == (0 if r.n <= 2 else min(share, 2))
         assert list(r.p) == ([] if r.n <= 2 else sorted({min(max(r.n // 3, 1), r.n - 1), min(max(r.n * 2 // 3, 2), r.n - 1)})[:2] if r.s == 2
                              else [min(max(r.n // 3, 1), r.n - 1)])
+
+
+def test_the_plan_holds_each_step_of_the_policy_once(spark):
+    scored = spark.createDataFrame(
+        [("u", "a", 1.0, "x"), ("u", "b", 0.5, "y"), ("u", "c", 0.2, "x")],
+        "customer_id string, article_id string, score double, category string",
+    )
+    plan = rerank.rerank(scored, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 5
+    assert rerank.rerank(scored, 0).count() == 0
