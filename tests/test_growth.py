@@ -39,3 +39,14 @@ def test_negatives_draw_little_more_than_is_wanted(spark, monkeypatch):
     early, late = drawn
     assert early.requests == 80 and late.requests < 40
     assert early.n + late.n < sum(2 * len(own) + 20 for own in bought.values()) * 0.8
+
+
+def test_dataset_metadata_repeats_no_row(spark):
+    rows = spark.createDataFrame(
+        [("a", "1", True), ("a", "2", False), ("b", "1", True), (None, "3", True), ("b", None, False)],
+        "customer_id string, article_id string, is_positive boolean",
+    )
+    out = features.dataset_metadata(rows)
+    assert out.first().asDict() == {"rows": 5, "users": 2, "items": 3, "positive_rows": 3, "negative_rows": 2}
+    assert "Expand" not in out._jdf.queryExecution().toString()
+    assert features.dataset_metadata(rows.limit(0)).first()["rows"] == 0
