@@ -50,3 +50,17 @@ def test_dataset_metadata_repeats_no_row(spark):
     assert out.first().asDict() == {"rows": 5, "users": 2, "items": 3, "positive_rows": 3, "negative_rows": 2}
     assert "Expand" not in out._jdf.queryExecution().toString()
     assert features.dataset_metadata(rows.limit(0)).first()["rows"] == 0
+
+
+def test_evaluation_rows_are_not_copied(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "1", 1), ("a", "2", 0)], "customer_id string, article_id string, label int")
+    monkeypatch.setattr(evaluation_queries, "train", lambda s, d: rows)
+
+    def refuse(df, name):
+        raise AssertionError(f"{name} is staged again")
+
+    monkeypatch.setattr(evaluation_queries, "staged", refuse)
+    flagged, truth, users = evaluation_queries.rows_with_truth(spark, "")
+    assert {r.article_id: r.is_positive for r in flagged.collect()} == {"1": True, "2": False}
+    assert truth.count() == users.count() == 1
+    assert evaluation_queries.evaluation_context(spark, "").first().asDict() == {"rows": 2, "users": 1, "positives": 1, "item_count": 2}
