@@ -64,3 +64,16 @@ def test_evaluation_rows_are_not_copied(spark, monkeypatch):
     assert {r.article_id: r.is_positive for r in flagged.collect()} == {"1": True, "2": False}
     assert truth.count() == users.count() == 1
     assert evaluation_queries.evaluation_context(spark, "").first().asDict() == {"rows": 2, "users": 1, "positives": 1, "item_count": 2}
+
+
+def test_ranking_summary_stages_what_it_reads(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [("a", "1", 1, True, 2.0, "x"), ("a", "2", 0, False, 1.0, "y")],
+        "customer_id string, article_id string, label int, is_positive boolean, popularity double, prod_name string",
+    )
+    truth = rows.where("is_positive").select("customer_id", "article_id")
+    monkeypatch.setattr(models, "enriched_rows", lambda s, d: (rows, truth, truth.select("customer_id").distinct()))
+    kept, whole = [], models.staged
+    monkeypatch.setattr(models, "staged", lambda df, name: kept.append(df.columns) or whole(df, name))
+    assert models.ranking_summary(spark, "").first()["auc"] == 1.0
+    assert kept == [["customer_id", "article_id", "score", "is_positive"]]
