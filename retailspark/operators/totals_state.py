@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailspark.operators.features import WINDOW_DAYS
-from retailspark.plans.staging import staged
 from retailspark.sources.tables import month_number, path_exists
 
 COMMITS = "batch_id bigint, last_day date"
@@ -47,6 +46,12 @@ def day_sums(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def dated_sums(rows: DataFrame, key: str) -> DataFrame:
+    """The same with their month; the rows move once, to ranges of days, where they are summed and can be written by month."""
+    ranged = rows.select(key, "t_dat", "price", "sales_channel_id").repartitionByRange("t_dat", key)
+    return day_sums(ranged, key).withColumn("month", month_number("t_dat"))
+
+
 def _months(first: dt.date, end: dt.date) -> list[int]:
     """Months that overlap the days from ``first`` up to but without ``end``."""
     out, month = [], first.replace(day=1)
@@ -85,11 +90,11 @@ def append_purchases(
         raise ValueError(f"batch {batch_id} after batch {done}")
     now = max(last_day, before) if before else last_day
     for key in keys:
-        own = staged(day_sums(rows, key), "day-sums")
-        dated = own.withColumn("month", month_number("t_dat")).withColumn("batch", F.lit(batch_id))
-        dated.repartitionByRange("month", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "month", "batch"
-        ).parquet(f"{path}/{key}/days")
+        dated = dated_sums(rows, key).withColumn("batch", F.lit(batch_id))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(
+            f"{path}/{key}/days"
+        )
+        own = spark.read.schema(dated.schema).parquet(f"{path}/{key}/days").where(F.col("batch") == batch_id)
         added = own.groupBy(key).agg(
             *[F.sum(n).alias(n) for n in SUMS], F.min("min_price").alias("min_price"), F.max("max_price").alias("max_price"),
             F.min("t_dat").alias("first_day"), F.max("t_dat").alias("newest_day"),

@@ -77,3 +77,14 @@ def test_ranking_summary_stages_what_it_reads(spark, monkeypatch):
     monkeypatch.setattr(models, "staged", lambda df, name: kept.append(df.columns) or whole(df, name))
     assert models.ranking_summary(spark, "").first()["auc"] == 1.0
     assert kept == [["customer_id", "article_id", "score", "is_positive"]]
+
+
+def test_day_sums_move_their_rows_once(spark):
+    rows = spark.createDataFrame(
+        [("a", "1997-03-05", 1.5, 1), ("a", "1997-03-05", 2.0, 2), ("b", "1997-04-01", 4.0, 1)],
+        "customer_id string, t_dat string, price double, sales_channel_id int",
+    ).withColumn("t_dat", F.to_date("t_dat"))
+    sums = totals_state.dated_sums(rows, "customer_id")
+    assert {(r.customer_id, r.month, r.purchases, float(r.spend)) for r in sums.collect()} == {("a", 199703, 2, 3.5), ("b", 199704, 1, 4.0)}
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1
