@@ -83,6 +83,8 @@ class Transducer:
         self.size = max(by_id, default=-1) + 1
         self.raw = b"".join(by_id.get(n, b"") for n in range(self.size))
         self.begins = array("i", np.cumsum([0, *(len(by_id.get(n, b"")) for n in range(self.size))]).tolist())
+        # The same as a list, for ids that are known to be in range.
+        self.tokens = [by_id.get(n, b"") for n in range(self.size)]
         # A merge by the ids of its halves: rank; and of every id the merge that makes it first.
         self.shift = max(self.size - 1, 1).bit_length()
         self.ranks: dict[int, int] = {}
@@ -277,7 +279,11 @@ class Transducer:
         machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
         bytes_of, text = self.bytes_of, []
         for at in range(0, len(ids), DECODE_STEP):
-            step = b"".join([bytes_of(i) for i in ids[at:at + DECODE_STEP].tolist()])
+            some = ids[at:at + DECODE_STEP]
+            if some.min() >= 0 and some.max() < self.size:
+                step = b"".join(map(self.tokens.__getitem__, some.tolist()))
+            else:
+                step = b"".join([bytes_of(i) for i in some.tolist()])
             text.append(machine.decode(step))
         text.append(machine.decode(b"", True))
         return "".join(text)

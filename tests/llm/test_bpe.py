@@ -108,3 +108,12 @@ def test_columns(spark, make_docs, with_clashes, library):
     assert bpe.encode_bpe(make_docs([]), PATH).count() == 0
     nothing = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.decoded for r in bpe.decode_bpe(nothing, PATH).collect()} == {""}
+
+
+def test_decoder_looks_bytes_up_at_once(monkeypatch):
+    """Ids in range need no call per id; any other id is still skipped."""
+    model = bpe.transducer(PATH)
+    ids = np.frombuffer(model.encode("naïve words, décodés"), np.int32)
+    assert model.decode(np.concatenate([ids, [-1, model.size]])) == "naïve words, décodés"
+    monkeypatch.setattr(model, "bytes_of", None)
+    assert model.decode(ids) == "naïve words, décodés" and model.decode(ids[:0]) == ""
