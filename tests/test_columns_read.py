@@ -1,7 +1,9 @@
 """Steps that move only the columns that are read."""
 
+from pyspark.sql import functions as F
+
 from retailspark.operators import retrieval_train
-from retailspark.registry import sampling as sampling_queries
+from retailspark.registry import models, sampling as sampling_queries
 
 
 def _training_rows(spark):
@@ -28,6 +30,16 @@ def test_retrieval_dataset_stages_what_it_reads(spark, monkeypatch):
     assert sides == {s: sum(v[0] == s for v in whole.values()) for s in ("train", "validation")}
 
 
+def test_training_matrix_writes_no_copy(spark, monkeypatch):
+    """All columns of the training rows were once written before eight of them were read."""
+    rows = _training_rows(spark).withColumn("fashion_news_frequency", F.lit("Monthly")).withColumn("age_category", F.lit("a_b"))
+    for module in (sampling_queries, models):
+        monkeypatch.setattr(module, "train", lambda *_: (_ for _ in ()).throw(AssertionError("staged")))
+    monkeypatch.setattr(sampling_queries, "build_train", lambda *_: rows)
+    got = models.training_matrix(spark, "/no/such/folder")
+    assert got.count() == rows.count() and "prod_name" not in got.columns
+
+
 def test_training_columns_are_those_of_the_rows(spark, monkeypatch):
     rows = _training_rows(spark)
     monkeypatch.setattr(sampling_queries, "build_train", lambda *_: rows)
