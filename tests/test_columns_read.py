@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from retailspark.operators import retrieval_train
-from retailspark.registry import models, sampling as sampling_queries
+from retailspark.operators import joins, retrieval_train
+from retailspark.registry import core, models, sampling as sampling_queries
 
 
 def _training_rows(spark):
@@ -46,3 +46,16 @@ def test_training_columns_are_those_of_the_rows(spark, monkeypatch):
     got = sampling_queries.train_columns(spark, "/no/such/folder", "customer_id", "label")
     assert got.columns == ["customer_id", "label"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.select("customer_id", "label").collect()))
+
+
+def test_rounded_tables_are_not_rounded_per_joined_row(spark):
+    """Features of users and items were once rounded for every purchase."""
+    users = spark.createDataFrame([("a", 1 / 3, 2), ("b", None, 3)], "customer_id string, spend double, n int")
+    items = spark.createDataFrame([("i", 2 / 3)], "article_id string, mean double")
+    rows = spark.createDataFrame([("a", "i", 0.12345678949), ("b", "i", 1.0), ("c", "j", 2.0)], "customer_id string, article_id string, price double")
+    want = core.flat(joins.candidate_train(rows, users, items))
+    got = core.flat(joins.candidate_train(rows, core.rounded(users), core.rounded(items), check=False))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    top = got._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert top.count("round(") == 1
