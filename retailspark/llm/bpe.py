@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from retailspark.llm.arrays import give_back, lean
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{both}]+|\s+(?!\S)|\s+"
+WORDS = r"'(?:s|t|re|ve|m|ll|d)| ?(?:{L}+|{N}+|[^\s{both}]+)|\s+(?!\S)|\s+"
 PIECE_CHARS = 1 << 16
 #: Words whose ids a worker remembers, and borders, the latter a power of two.
 CACHED_WORDS, BORDERS = 1 << 19, 1 << 19
@@ -260,6 +260,13 @@ class Transducer:
             start = cut
         yield text[start:]
 
+    def has_unassigned(self, piece: str) -> bool:
+        """Whether a code point that is missing in Unicode 15 occurs; most pieces are told by their highest one."""
+        if self.unassigned is None or piece.isascii():
+            return False
+        highest = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).max()
+        return bool(highest >= ord(self.unassigned_from) and self.unassigned.search(piece))
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit numbers."""
         out: list[bytes] = []
@@ -269,8 +276,7 @@ class Transducer:
                 out.append(np.int32(self.special[part]).tobytes())
                 continue
             for piece in self.pieces(part):
-                odd = self.unassigned and max(piece, default="") >= self.unassigned_from and self.unassigned.search(piece)
-                words = (self.words_known if odd else self.words).findall(piece)
+                words = (self.words_known if self.has_unassigned(piece) else self.words).findall(piece)
                 out.extend([get(w) or word_ids(w) for w in words])
         return b"".join(out)
 

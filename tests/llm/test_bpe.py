@@ -117,3 +117,23 @@ def test_decoder_looks_bytes_up_at_once(monkeypatch):
     assert model.decode(np.concatenate([ids, [-1, model.size]])) == "naïve words, décodés"
     monkeypatch.setattr(model, "bytes_of", None)
     assert model.decode(ids) == "naïve words, décodés" and model.decode(ids[:0]) == ""
+
+
+def test_ascii_pieces_are_not_searched_for_new_letters(model, library, monkeypatch):
+    """Every character of every piece was once compared to find the highest."""
+    class Counted:
+        calls = 0
+
+        def search(self, piece):
+            Counted.calls += 1
+            return found.search(piece)
+
+    found = model.unassigned
+    if found is None:
+        pytest.skip("no letter is newer than Unicode 15")
+    monkeypatch.setattr(model, "unassigned", Counted())
+    assert not model.has_unassigned("plain 'words' don't") and not model.has_unassigned("") and not model.has_unassigned("é ñ")
+    assert Counted.calls == 0
+    assert model.has_unassigned("x " + model.unassigned_from + " é") and Counted.calls == 1
+    for text in ("don't'll 'S 'sé ñ'd", " 're''ve 9'm½ x", "a " + model.unassigned_from + "'s 1"):
+        same(model, library, text)
