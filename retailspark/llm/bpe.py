@@ -12,7 +12,8 @@ take to join.
 
 Words come from the pattern of the vocabulary file. A text is cut before white space that
 follows other characters, where no word can continue, so words are found piece by piece.
-Encodings of short words are kept in a cache of fixed size.
+Encodings of short words are kept in a cache of fixed size; new words are taken in order, so that
+each goes on from the prefix it shares with the word before.
 
 Decoding. Ids become bytes; bytes go through an incremental UTF-8 state machine that holds an
 unfinished character between steps and replaces what can never become one.
@@ -29,8 +30,9 @@ import codecs
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ WORDS = r"'(?:s|t|re|ve|m|ll|d)| ?(?:{L}+|{N}+|[^\s{both}]+)|\s+(?!\S)|\s+"
 PIECE_CHARS = 1 << 16
 #: Words whose ids a worker remembers, and borders, the latter a power of two.
 CACHED_WORDS, BORDERS = 1 << 19, 1 << 19
+#: Words that wait until the new ones among them are learned, and bytes by whose end a token is looked for.
+WAITING_WORDS, TAIL = 1 << 19, 4
 #: No rank is as large.
 NEVER = (1 << 31) - 1
 DECODE_STEP = 1 << 14
@@ -98,6 +102,11 @@ class Transducer:
             t: n for t, n in vocab.items() if len(t) == 1 or n in made and self.first_crossing(*made[n][:2]) == made[n][:2]
         }
         self.lookahead = max(map(len, self.usable))
+        # Length of the longest of them that ends in some ``TAIL`` bytes: no longer one need be looked for.
+        self.longest: dict[bytes, int] = {}
+        for t in self.usable:
+            if len(t) >= TAIL:
+                self.longest[t[-TAIL:]] = max(self.longest.get(t[-TAIL:], 0), len(t))
         # What is known about borders: the pair of ids and one bit, in the place that the pair hashes to.
         self.keeps = array("q", [-1]) * BORDERS
         self.cache: dict[str, bytes] = {}
@@ -215,30 +224,37 @@ class Transducer:
             places.add(top - self.length(last[top - 1]))
         return places.pop()
 
-    def whole_word(self, word: bytes) -> bytes:
-        """Ids of a word that fits the window: the same recurrence as ``stream``, nothing to emit before its end."""
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the ids of words that fit the window: the same recurrence as ``stream``, nothing to emit before their end.
+
+        Words are taken in order, so that each goes on from the prefix it shares with the one before.
+        """
         number, keeps, shift, mask = self.usable.get, self.keeps, self.shift, BORDERS - 1
-        whole = number(word)
-        if whole is not None:
-            return whole.to_bytes(4, "little")
-        last, starts = [-1], [0]  # id of the last token of each prefix, and where it begins
-        for end in range(1, len(word) + 1):
-            for begin in range(end):
-                token = number(word[begin:end])
-                if token is not None:
-                    if begin:
-                        key = last[begin] << shift | token
-                        known = keeps[(key ^ key >> 15) & mask]
-                        if not (known & 1 if known >> 1 == key else self.keeps_border(last[begin], token)):
-                            continue
-                    last.append(token)
-                    starts.append(begin)
-                    break
-        ids, end = [], len(word)
-        while end:
-            ids.append(last[end])
-            end = starts[end]
-        return array("i", ids[::-1]).tobytes()
+        cache, reach, tail = self.cache, self.longest.get, TAIL
+        before, last, packed = b"", [-1], [b""]  # of each prefix: id of the last token, and all its ids
+        for word in sorted(words):
+            raw = word.encode()
+            size = len(raw)
+            if size >= self.lookahead:
+                continue
+            shared = min(len(before), size)
+            while before[:shared] != raw[:shared]:
+                shared -= 1
+            before = raw
+            del last[shared + 1:], packed[shared + 1:]
+            for end in range(shared + 1, size + 1):
+                for begin in range(max(0, end - reach(raw[end - tail:end], tail - 1)) if end >= tail else 0, end):
+                    token = number(raw[begin:end])
+                    if token is not None:
+                        if begin:
+                            key = last[begin] << shift | token
+                            known = keeps[(key ^ key >> 15) & mask]
+                            if not (known & 1 if known >> 1 == key else self.keeps_border(last[begin], token)):
+                                continue
+                        last.append(token)
+                        packed.append(packed[begin] + token.to_bytes(4, "little"))
+                        break
+            cache[word] = packed[size]
 
     def word_ids(self, word: str) -> bytes:
         """Ids of a word as packed 32-bit numbers, remembered if the word is short."""
@@ -247,8 +263,8 @@ class Transducer:
             return array("i", [t for run in self.stream(raw) for t in run]).tobytes()
         if len(self.cache) >= self.cached_words:
             self.cache.clear()
-        ids = self.cache[word] = self.whole_word(raw)
-        return ids
+        self.learn([word])
+        return self.cache[word]
 
     def pieces(self, text: str) -> Iterator[str]:
         """Cut before white space that follows something else: no word crosses such a place."""
@@ -267,18 +283,45 @@ class Transducer:
         highest = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).max()
         return bool(highest >= ord(self.unassigned_from) and self.unassigned.search(piece))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as packed 32-bit numbers."""
-        out: list[bytes] = []
-        get, word_ids = self.cache.get, self.word_ids
+    def runs(self, text: str) -> Iterator[bytes | list[str]]:
+        """A text as lists of words, and packed ids of special tokens between them."""
         for part in self.special_split.split(text) if self.special_split else (text,):
             if part in self.special:
-                out.append(np.int32(self.special[part]).tobytes())
+                yield np.int32(self.special[part]).tobytes()
                 continue
             for piece in self.pieces(part):
-                words = (self.words_known if self.has_unassigned(piece) else self.words).findall(piece)
-                out.extend([get(w) or word_ids(w) for w in words])
-        return b"".join(out)
+                yield (self.words_known if self.has_unassigned(piece) else self.words).findall(piece)
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of each text as packed 32-bit numbers; words wait for others, so that many new ones are learned at once."""
+        out: list[list[bytes]] = []
+        waiting: list[tuple[list[bytes], bytes | list[str]]] = []
+        held = 0
+        for text in texts:
+            out.append([])
+            for run in self.runs(text):
+                waiting.append((out[-1], run))
+                held += len(run)
+                if held >= WAITING_WORDS:
+                    self._settle(waiting)
+                    waiting, held = [], 0
+        self._settle(waiting)
+        return [b"".join(ids) for ids in out]
+
+    def _settle(self, waiting: list[tuple[list[bytes], bytes | list[str]]]) -> None:
+        words = set().union(*(run for _, run in waiting if isinstance(run, list)))
+        new = words.difference(self.cache)
+        if len(self.cache) + len(new) > self.cached_words:
+            self.cache.clear()
+            new = set(islice(words, self.cached_words))
+        self.learn(new)
+        get, word_ids = self.cache.get, self.word_ids
+        for ids, run in waiting:
+            ids.append(run if isinstance(run, bytes) else b"".join([get(w) or word_ids(w) for w in run]))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as packed 32-bit numbers."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of some ids, by an incremental state machine from bytes to characters."""
@@ -334,7 +377,7 @@ def encode_bpe(
             texts = batch.column(batch.schema.get_field_index(text_col))
             lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
             for start, end in row_groups(lengths):
-                packed = [model.encode(t or "") for t in texts.slice(start, end - start).to_pylist()]
+                packed = model.encode_all(t or "" for t in texts.slice(start, end - start).to_pylist())
                 offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), values)

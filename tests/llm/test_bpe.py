@@ -137,3 +137,32 @@ def test_ascii_pieces_are_not_searched_for_new_letters(model, library, monkeypat
     assert model.has_unassigned("x " + model.unassigned_from + " é") and Counted.calls == 1
     for text in ("don't'll 'S 'sé ñ'd", " 're''ve 9'm½ x", "a " + model.unassigned_from + "'s 1"):
         same(model, library, text)
+
+
+def test_words_go_on_from_the_prefix_they_share(library, monkeypatch):
+    """Every new word was once worked out from its first byte."""
+    class Counted(dict):
+        calls = 0
+
+        def get(self, key, other=None):
+            Counted.calls += 1
+            return super().get(key, other)
+
+    model = bpe.Transducer(PATH)
+    model.usable = Counted(model.usable)
+    words = [f" overhenstlicheran{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    same(model, library, "".join(words))
+    assert Counted.calls < 10 * len(words)
+
+
+@pytest.mark.parametrize("cached, waiting", [(3, 1), (3, 1 << 19), (1 << 19, 7)])
+def test_texts_at_once(library, monkeypatch, cached, waiting):
+    """Few remembered words and many steps change no ids; words longer than the window are not remembered."""
+    monkeypatch.setattr(bpe, "WAITING_WORDS", waiting)
+    model = bpe.Transducer(PATH)
+    model.cached_words = cached
+    texts = ["", "a b a b\x00 a\x00\x00 é éé", "x <|endoftext|> y<|endoftext|>z", "q" * 400 + " q", " ".join(map(str, range(60))), *FIXED[4:9]]
+    for _ in range(2):
+        got = [np.frombuffer(ids, np.int32).tolist() for ids in model.encode_all(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(model.cache) <= cached and max(map(len, model.cache)) < model.lookahead
