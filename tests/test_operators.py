@@ -288,6 +288,24 @@ def test_lists_that_cannot_reach_the_floor_change_nothing(spark):
     assert cand.signal_scores(points, lists, 5).count() < whole.count()
 
 
+def test_users_with_few_rows_are_opened_in_all_tasks(spark):
+    """Users' small rows once met in one task, which then listed thousands of items for each of them."""
+    items = [(f"{i:04d}", f"c{i % 3}", f"m{i % 2}", "red", float(i % 7), 0.5, 0.0) for i in range(60)]
+    given = spark.createDataFrame(
+        items, "article_id string, category string, main_category string, color string, popularity double, normalized_popularity double, fresh_boost double"
+    )
+    points = cand.interest_points(spark.createDataFrame(
+        [(f"u{u}", {"c0": 2.0, "m1": 1.0}) for u in range(100)], "customer_id string, session_interest map<string,double>"
+    ))
+    found = cand.signal_scores(points, cand.item_lists(given, 10))
+    tasks = found.groupBy(F.spark_partition_id()).agg(F.countDistinct("customer_id").alias("users")).collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r.users for r in tasks) < 50
+    # Ten of c0, ten of m1; what both list comes once.
+    both = {a for a, *_ in sorted((x for x in items if x[1] == "c0"), key=lambda x: (-x[4], x[0]))[:10]} | {
+        a for a, *_ in sorted((x for x in items if x[2] == "m1"), key=lambda x: (-x[4], x[0]))[:10]}
+    assert {r.n for r in found.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {len(both)}
+
+
 def test_feature_vectors_rank_for_unseen_users(spark):
     """Purchases follow age and category; users that training has not seen are served by their age."""
     import random
